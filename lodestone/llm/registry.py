@@ -1,8 +1,8 @@
 """Queries and SQL of the training-data operators."""
 
-from lodestone.llm import mixing, sharding, tokens, urlfilter, warc
+from lodestone.llm import langid, mixing, sharding, tokens, urlfilter, warc
 
-_MODULES = (warc, urlfilter, sharding, mixing, tokens)
+_MODULES = (warc, langid, urlfilter, sharding, mixing, tokens)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
