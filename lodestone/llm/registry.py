@@ -1,8 +1,8 @@
 """Queries and SQL of the training-data operators."""
 
-from lodestone.llm import langid, mixing, pst, sharding, simhash, tokens, urlfilter, warc
+from lodestone.llm import embdedup, langid, mixing, pst, sharding, simhash, tokens, urlfilter, warc
 
-_MODULES = (warc, langid, urlfilter, sharding, pst, mixing, simhash, tokens)
+_MODULES = (warc, langid, urlfilter, embdedup, sharding, pst, mixing, simhash, tokens)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
