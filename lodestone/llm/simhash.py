@@ -186,7 +186,8 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, shard: int = SH
     forest of its links. Links are exact: no pair within the radius is missed."""
     rows = distinct.count()
     shards = 1 << max(0, min(int(math.log2(MOST_SHARDS)), math.ceil(math.log2(max(1, rows / shard)))))
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(PER_SHARD * shards).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+    drawn = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, PER_SHARD * shards / max(1, rows))))
+    sample = distinct.where(drawn).orderBy("fp").toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
     tree = build(sample, max(1, len(sample) // shards), depth=max(0, int(math.log2(shards))))
     leaves = []
 

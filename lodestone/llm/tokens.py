@@ -173,12 +173,13 @@ class TokenReader:
         self.stream.close()
 
 
-def dictionary_for(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int, sample: int = SAMPLE) -> bytes:
-    """The shared dictionary, trained on the ids of at most ``sample`` documents (those first by a hash of
-    the id). It only makes the files smaller; ids never depend on it."""
-    rows = docs.select(F.substring(F.col(text_col), 1, 20_000).alias("t")).where("t is not null").orderBy(F.xxhash64(id_col)).limit(sample).collect()
+def dictionary_for(docs: DataFrame, rows: int, path: str, id_col: str, text_col: str, end_id: int, sample: int = SAMPLE) -> bytes:
+    """The shared dictionary, trained on the ids of about ``sample`` of the ``rows`` documents (drawn by a hash of
+    the id, 4 * ``sample`` at most). It only makes the files smaller; ids never depend on it."""
+    drawn = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(1, rows))))
     tool = encoder(path)
-    return train([tool.encode(r["t"]) + np.array([end_id], tool.type).tobytes() for r in rows], DICTIONARY_BYTES)
+    texts = docs.where(drawn).select(F.col(text_col).alias("t")).limit(4 * sample).collect()
+    return train([tool.encode(r["t"]) + np.array([end_id], tool.type).tobytes() for r in texts], DICTIONARY_BYTES)
 
 
 def write_tokens(
@@ -195,7 +196,7 @@ def write_tokens(
     """
     rows = docs.count()
     files = max(1, min(MOST_FILES, rows // PER_FILE))
-    dictionary = dictionary_for(docs, path, id_col, text_col, end_id)
+    dictionary = dictionary_for(docs, rows, path, id_col, text_col, end_id)
     key = hashlib.sha256(dictionary).digest()
     saved = FileWriter(folder, f"dictionary-{key.hex()}")
     saved.write(dictionary)
