@@ -228,22 +228,34 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     with a null id are reported as null; empty tables give no rows.
     """
     keys = key or [id_col]
-    source = docs.select(*keys, F.col(text_col).alias("_text"))
-    out = None
+    source, out = docs.select(*keys, F.col(text_col).alias("_text")), None
     for index in indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>")
-        def find(texts: pd.Series) -> pd.Series:
-            index = shared.value
-            spell = _Spellings(index.terms)
-            return pd.Series([[dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), x)) for x in find_items(index, t, spell)] for t in texts])
-
-        own = source.select(*keys, F.explode(find("_text")).alias("_found")).select(*keys, "_found.*")
+        own = source.select(*keys, F.explode(finder(docs.sparkSession, index)("_text")).alias("_found")).select(*keys, "_found.*")
         out = own if out is None else out.union(own)
     return out
 
 
+def finder(spark: SparkSession, index: Index):
+    """A column function: the items of ``index`` found in a text."""
+    shared = spark.sparkContext.broadcast(index)
+    names = ("item_id", "score", "question_overlap", "answer_overlap")
+
+    @F.pandas_udf("array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>")
+    def find(texts: pd.Series) -> pd.Series:
+        index = shared.value
+        spell = _Spellings(index.terms)
+        return pd.Series([[dict(zip(names, x)) for x in find_items(index, t, spell)] for t in texts])
+
+    return find
+
+
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows in which an item is found; columns as they are."""
+    for index in indexes(items):
+        docs = docs.where(F.size(finder(docs.sparkSession, index)(text_col)) == 0)
+    return docs
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -16,8 +16,8 @@ def water_fill(sources: DataFrame, share: float = SHARE, epochs: float = EPOCHS)
     ``share`` times all sizes is dealt out by weight; a source stops at ``epochs`` times its size and the
     excess goes to the others by weight, until none is above. The result of that repetition is the
     water level L with sum(min(cap, L * weight)) = share * size: with the sources in the order of
-    cap / weight, those before some place are full, and L follows from the sums behind it. If all caps
-    together hold less than the share, all are full. One row per source, so one small ordered window.
+    cap / weight, those before some place are full, and L follows from the sums behind it: it rises up to
+    that place and falls after it, so it is the highest among those that agree with their own place. If all caps together hold less than the share, all are full. One row per source, so one small ordered window.
     """
     ratio = Window.orderBy("_ratio", "stratum")
     ahead, behind = ratio.rowsBetween(Window.unboundedPreceding, -1), ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -28,7 +28,7 @@ def water_fill(sources: DataFrame, share: float = SHARE, epochs: float = EPOCHS)
     # the level if all sources ahead of this one are full and neither this one nor those behind it are
     level = (F.col("_total") - F.coalesce(F.sum("_cap").over(ahead), F.lit(0.0))) / F.sum("weight").over(behind)
     out = out.withColumn("_level", level)
-    out = out.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(every))
+    out = out.withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(every))
     fill = F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("weight"), F.col("_cap")))
     return out.select("stratum", "source_size", "weight", fill.alias("target"))
 
@@ -43,9 +43,10 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
     whole: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Words that the mix takes of every row: ``id_col``, ``size``, ``source_size``, ``target``, ``taken``,
-    ``repeats`` and ``part``, and ``_text`` where ``whole`` (see below).
+    """Words that the mix takes of every row: ``id_col``, ``carry`` columns, ``size``, ``source_size``, ``target``,
+    ``taken``, ``repeats`` and ``part``.
 
     Sources in the order of code points, null last, weigh ``weights`` repeating; :func:`water_fill` gives
     their targets. Of a source, each row is taken floor(target / source_size) whole times; the rest goes,
@@ -61,6 +62,7 @@ def mix_sources(
     """
     narrow = docs.select(
         F.col(id_col),
+        *carry,
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         stratum(source_col).alias("stratum"),
         seeded(id_col, seed).alias("_key"),
@@ -72,19 +74,30 @@ def mix_sources(
     targets = water_fill(sources.withColumn("weight", weight), share, epochs)
     targets = targets.withColumn("_times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = targets.withColumn("_rest", F.round("target").cast("long") - F.col("_times") * F.col("source_size"))
-    out = ranked(narrow, "stratum", "_key", [id_col, "size"], narrow.count(), "size").join(targets, "stratum")
+    out = ranked(narrow, "stratum", "_key", [id_col, "size", *carry], narrow.count(), "size").join(targets, "stratum")
     more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("before")))
     if whole:
         more = F.when(more * 2 >= F.col("size"), F.col("size")).otherwise(0)
     out = out.withColumn("_more", more.cast("long")).withColumn("taken", F.col("_times") * F.col("size") + F.col("_more"))
     full = (F.col("_more") == F.col("size")) & (F.col("size") > 0)
     return out.select(
-        id_col, "size", "source_size", "target", "taken",
+        id_col, *carry, "size", "source_size", "target", "taken",
         (F.col("_times") + full.cast("long")).alias("repeats"),
         F.when(full, F.lit(0)).otherwise(F.col("_more")).alias("part"),
     )
 
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` as the mix takes it: each row as many times as its repetitions, texts whole, columns as they are.
+
+    Rows are numbered in a written copy; repetitions come back by that number. Rows that the mix takes no
+    words of (with size 0 among them) are left out."""
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
+    times = mix_sources(keyed, id_col=id_col, whole=True, carry=("_row",), **options).where("repeats > 0").select("_row", F.col("repeats").alias("_times"))
+    out = keyed.join(materialize(times, "mix-times"), "_row")
+    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -99,7 +112,7 @@ WITH keyed AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20
     r AS (SELECT *, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s),
     l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
         / sum(w) OVER (ORDER BY cap / w, stratum ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS lev FROM r),
-    m AS (SELECT *, min(CASE WHEN lev <= cap / w THEN lev END) OVER () AS lv FROM l),
+    m AS (SELECT *, max(CASE WHEN lev <= cap / w THEN lev END) OVER () AS lv FROM l),
     t AS (SELECT stratum, source_size, least(cap, coalesce(lv * w, cap)) AS target FROM m),
     b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS times FROM t),
     d AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY stratum ORDER BY k, doc_id, size

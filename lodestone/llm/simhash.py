@@ -40,14 +40,14 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(``id_col``, ``fp``) of each row; ``fp`` is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(``id_col``, ``carry`` columns, ``fp``) of each row; ``fp`` is the fingerprint's 64 bits as a signed long."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col(id_col), fp(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col), *carry, fp(F.col(text_col)).alias("fp"))
 
 
 @dataclass
@@ -222,8 +222,11 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, shard: int = SH
     return sent.groupBy("shard").applyInPandas(link, "src long, dst long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """(``id_col``, ``fingerprint``, ``component_id``) of each row.
+def simhash_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(``id_col``, ``carry`` columns, ``fingerprint``, ``component_id``, ``part``) of each row; ``part`` (the
+    smallest fingerprint, signed) tells components apart even where they have no id or share one.
 
     Rows whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is the smallest
     id that links reach. Rows with one fingerprint are one class from the start, so copies cost nothing
@@ -233,18 +236,33 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     other; a row with a null id takes part but names no component (a component of only such rows has a
     null id); repeated rows come back each; an empty table gives no rows; other columns are ignored.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
+    rows = materialize(fingerprints(docs, id_col, text_col, words, carry), "simhash")
     classes = rows.groupBy("fp").agg(F.min(id_col).alias("_least"))
     edges = link_fingerprints(classes.select("fp"), radius)
     parts = connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("_part"))
     classes = classes.join(parts, "fp", "left").withColumn("_part", F.coalesce("_part", "fp"))
     least = classes.groupBy("_part").agg(F.min("_least").alias("component_id"))
-    named = materialize(classes.join(least, "_part").select("fp", "component_id"), "simhash-parts")
-    return rows.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = materialize(classes.join(least, "_part").select("fp", "component_id", F.col("_part").alias("part")), "simhash-parts")
+    return rows.join(named, "fp").select(id_col, *carry, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "part")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (nulls last; one of its repeated rows).
+
+    The columns of ``docs`` stay as they are. Rows are numbered in a written copy, and the numbers of the
+    rows that go are taken out by an anti-join (broadcast up to 200,000 of them)."""
+    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
+    rows = materialize(simhash_components(keyed, id_col, text_col, words, radius, ("_row",)).select(id_col, "_row", "part"), "simhash-rows")
+    first = rows.groupBy("part").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_row").alias("r"))).alias("_first"))
+    stays = first.select(F.col("_first.r").alias("_row"))
+    goes = materialize(rows.select("_row").join(stays, "_row", "left_anti"), "simhash-goes")
+    if goes.count() <= 200_000:
+        goes = F.broadcast(goes)
+    return keyed.join(goes, "_row", "left_anti").drop("_row")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("part")
 
 
 QUERIES = {"op9_simhash": op9_simhash}
