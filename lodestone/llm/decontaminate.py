@@ -119,7 +119,7 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     if not bags:
         return index
     df: Counter = Counter(t for b in bags for t in b[3])
-    bags.sort(key=lambda b: (max(b[3], key=lambda t: (df[t], t)), b[0]))
+    bags.sort(key=lambda b: (max(b[3], key=lambda t: (df[t], t)), b[0] is None, b[0] or 0))
     n, mean = len(bags), sum(sum(b[3].values()) for b in bags) / len(bags)
     idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
     lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
@@ -203,7 +203,7 @@ def find_items(index: Index, text: str | None, spell: _Spellings) -> list[tuple[
             share = [len([g for g in part if g in grams[len(g)]]) / len(part) if part else 1.0 for part in (index.question[place], index.answer[place])]
             if min(share) >= OVERLAP:
                 best[place] = max(best.get(place, (0.0, 0.0, 0.0)), (min(1.0, score), *share))
-    return sorted((index.ids[p], *x) for p, x in best.items())
+    return [(index.ids[p], *best[p]) for p in sorted(best)]
 
 
 def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
