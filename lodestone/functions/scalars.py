@@ -246,7 +246,7 @@ def scalar(name: str, args: list[Val], safe: bool) -> Val:
         if not (is_string(a.type) and is_string(d.type)):
             return null
         s, sep = text(a), text(d)
-        chars = F.concat(F.array(F.lit("")), F.split(s, "(?!^)"), F.array(F.lit("")))
+        chars = F.concat(F.array(F.lit("")), F.split(s, "(?!^)"))
         return Val(F.when(sep == "", chars).otherwise(F.split(s, F.concat(F.lit(r"\Q"), sep, F.lit(r"\E")), -1)), T.ArrayType(string))
     if name == "replace":
         return Val(F.replace(text(a), text(args[1]), text(args[2])), string) if all(is_string(v.type) for v in args[:3]) else null
