@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lodestone.errors import ConstraintViolation, GraphError
-from lodestone.functions.scalars import NULL, Val, family
+from lodestone.functions.scalars import NULL, Val, family, ulid_value
 from lodestone.plans import ast as A
 from lodestone.plans.compiler import Compiler, needs_of
 from lodestone.plans.parser import parse
@@ -54,6 +54,29 @@ class GraphSession:
     def rows(self, data: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(data, schema)
 
+    def get_node(self, id: int | str) -> dict[str, Any] | None:
+        """Labels and properties of one node, by its id or the text that shows it."""
+        key = ulid_value(id) if isinstance(id, str) else id
+        for p in self.graph.nodes:
+            row = p.df.where(F.col("id") == key).head()
+            if row:
+                return {"id": key, "labels": sorted(p.labels)} | {k: row[k] for k in p.props if row[k] is not None}
+        return None
+
+    def get_edge(self, id: int | str) -> dict[str, Any] | None:
+        key = ulid_value(id) if isinstance(id, str) else id
+        for p in self.graph.edges:
+            row = p.df.where(F.col("id") == key).head()
+            if row:
+                return {"id": key, "label": p.label, "src": row["src"], "dst": row["dst"]} | {k: row[k] for k in p.props if row[k] is not None}
+        return None
+
+    def node_count(self, label: str | None = None) -> int:
+        return self.graph.count("nodes", label)
+
+    def edge_count(self, label: str | None = None) -> int:
+        return self.graph.count("edges", label)
+
     # -- transactions -----------------------------------------------------------------------------
     def begin(self) -> None:
         if self.before is not None:
