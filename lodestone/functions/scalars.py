@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, functions as F, types as T
 
 from lodestone.errors import GraphError
-from lodestone.sources.graph import as_type, display, is_float, is_int, unify
+from lodestone.sources.graph import TAGGED, as_type, display, is_float, is_int, tagged, tagged_text, unify
 
 ID, IDS = "id", "ids"  # types of element ids (shown as 26 characters) and lists of them
 NULL = T.NullType()
@@ -47,15 +47,29 @@ def shown(v: Val) -> Column:
         return ulid(v.col)
     if v.type == IDS:
         return F.transform(v.col, ulid)
+    if v.type == TAGGED:
+        return tagged_text(v.col)
+    if isinstance(v.type, T.ArrayType) and v.type.elementType == TAGGED:
+        return F.transform(v.col, tagged_text)
     return v.col.cast("string") if v.type == NULL else v.col
 
 
 def is_string(t) -> bool:
-    return isinstance(t, T.StringType) or t == ID
+    """Strings, shown ids, and values of several kinds (null unless they are strings)."""
+    return isinstance(t, T.StringType) or t == ID or t == TAGGED
 
 
 def text(v: Val) -> Column:
-    return ulid(v.col) if v.type == ID else v.col
+    return ulid(v.col) if v.type == ID else v.col["s"] if v.type == TAGGED else v.col
+
+
+def number(v: Val) -> Val:
+    """A value of several kinds as a float; null unless it is a number."""
+    return Val(F.coalesce(v.col["d"], v.col["i"].cast("double")), T.DoubleType()) if v.type == TAGGED else v
+
+
+def as_tagged(v: Val) -> Column:
+    return tagged(text(v), T.StringType()) if v.type == ID else tagged(v.col, v.type)
 
 
 def literal(value: Any) -> Val:
@@ -111,6 +125,8 @@ def family(t) -> str:
         return "int"
     if is_float(t):
         return "float"
+    if t == TAGGED:
+        return "tagged"
     return {"string": "string", "boolean": "bool"}.get(t.simpleString(), t.simpleString())
 
 
@@ -121,6 +137,8 @@ def equal(a: Val, b: Val) -> Column:
     if fa == "null" or fb == "null":
         other = b if fa == "null" else a
         return F.lit(True) if fa == fb else other.col.isNull()
+    if "tagged" in (fa, fb) and "list" not in (fa, fb):
+        return as_tagged(a).eqNullSafe(as_tagged(b))
     if fa != fb:
         mixed = {fa, fb} == {"int", "float"} and (a.literal or b.literal)
         return a.col.cast("double").eqNullSafe(b.col.cast("double")) if mixed else a.col.isNull() & b.col.isNull()
@@ -136,6 +154,13 @@ def compare(op: str, a: Val, b: Val) -> Column:
     both = F.lit(False)
     if op in ("<=", ">="):
         both = a.col.isNull() & b.col.isNull()
+    if "tagged" in (fa, fb) and not {"list", "null"} & {fa, fb}:
+        x, y = as_tagged(a), as_tagged(b)
+        one = F.lit(False)
+        for f in "bids":
+            own = {"<": x[f] < y[f], "<=": x[f] <= y[f], ">": x[f] > y[f], ">=": x[f] >= y[f]}[op]
+            one = one | ((x["t"] == f) & (y["t"] == f) & own)
+        return F.coalesce(one, F.lit(False)) | both
     if fa != fb and not ({fa, fb} == {"int", "float"} and (a.literal or b.literal)):
         return both
     if fa == "null":
@@ -146,6 +171,7 @@ def compare(op: str, a: Val, b: Val) -> Column:
 
 
 def arithmetic(op: str, a: Val, b: Val, safe: bool) -> Val:
+    a, b = number(a), number(b)
     for v in (a, b):
         if family(v.type) not in ("int", "float", "null"):
             raise GraphError(f"'{op}' needs numbers")
@@ -225,7 +251,8 @@ def scalar(name: str, args: list[Val], safe: bool) -> Val:
     if name == "tostring":
         if a.type == NULL:
             return literal("null")
-        return Val(F.coalesce(text(a) if is_string(a.type) else display(a.col, a.type), F.lit("null")), string)
+        own = tagged_text(a.col) if a.type == TAGGED else text(a) if is_string(a.type) else display(a.col, a.type)
+        return Val(F.coalesce(own, F.lit("null")), string)
     if name == "tointeger":
         kind = family(a.type)
         if kind == "string":

@@ -15,7 +15,7 @@ from lodestone.functions.scalars import (
 )
 from lodestone.plans import ast as A
 from lodestone.shared import materialize
-from lodestone.sources.graph import PropertyGraph, is_float, is_int
+from lodestone.sources.graph import TAGGED, PropertyGraph, is_float, is_int
 
 #: Hops up to which a bounded path is one lazy plan; longer and unbounded paths run hop by hop.
 LAZY_HOPS = 8
@@ -131,7 +131,7 @@ class Expressions:
         if s is None:
             return Val(F.lit(None), NULL)
         if s.kind == "value":
-            if isinstance(s.type, T.StructType) and x.name in s.type.fieldNames():
+            if isinstance(s.type, T.StructType) and s.type != TAGGED and x.name in s.type.fieldNames():
                 return Val(F.col(f"`{s.id}`").getField(x.name), s.type[x.name].dataType)
             return Val(F.lit(None), NULL)
         column, t = s.props.get(x.name, (None, NULL))
@@ -529,6 +529,8 @@ class Compiler:
         if c.name == "count":
             return (F.count_distinct(arg) if c.distinct else F.count(arg)), T.LongType()
         if c.name in ("sum", "avg"):
+            if t == TAGGED:
+                arg, t = F.coalesce(arg["d"], arg["i"].cast("double")), T.DoubleType()
             if not (is_int(t) or is_float(t) or t == NULL):
                 raise GraphError(f"{c.name}() needs numbers")
             if c.name == "avg":

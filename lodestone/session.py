@@ -15,7 +15,7 @@ from lodestone.plans.compiler import Compiler, needs_of
 from lodestone.plans.parser import parse
 from lodestone.shared import materialize
 from lodestone.sources.csv import read_edges, read_nodes
-from lodestone.sources.graph import EDGE_FIELDS, NODE_FIELDS, PropertyGraph, as_type, unify
+from lodestone.sources.graph import EDGE_FIELDS, NODE_FIELDS, TAGGED, PropertyGraph, as_type, own_type, unify
 
 TYPES = {"INTEGER": "int", "FLOAT": "float", "STRING": "string", "BOOLEAN": "bool"}
 
@@ -60,7 +60,7 @@ class GraphSession:
         for p in self.graph.nodes:
             row = p.df.where(F.col("id") == key).head()
             if row:
-                return {"id": key, "labels": sorted(p.labels)} | {k: row[k] for k in p.props if row[k] is not None}
+                return {"id": key, "labels": sorted(p.labels)} | {k: plain(row[k], t) for k, t in p.props.items() if row[k] is not None}
         return None
 
     def get_edge(self, id: int | str) -> dict[str, Any] | None:
@@ -68,7 +68,7 @@ class GraphSession:
         for p in self.graph.edges:
             row = p.df.where(F.col("id") == key).head()
             if row:
-                return {"id": key, "label": p.label, "src": row["src"], "dst": row["dst"]} | {k: row[k] for k in p.props if row[k] is not None}
+                return {"id": key, "label": p.label, "src": row["src"], "dst": row["dst"]} | {k: plain(row[k], t) for k, t in p.props.items() if row[k] is not None}
         return None
 
     def node_count(self, label: str | None = None) -> int:
@@ -263,13 +263,13 @@ class GraphSession:
     def storable(key: str, v: Val) -> Val:
         if isinstance(v.value, str) and "\0" in v.value:
             raise GraphError(f"property {key}: a string can't hold a NUL byte")
-        if isinstance(v.type, (T.MapType, T.StructType)):
+        if isinstance(v.type, (T.MapType, T.StructType)) and v.type != TAGGED:
             raise GraphError(f"property {key}: maps can't be stored")
         return v
 
     def check(self, graph: PropertyGraph, labels: frozenset[str], rows: DataFrame, values: dict[str, Val] | None = None) -> None:
         """Constraints of these labels for ``rows`` that are about to be stored (id and properties)."""
-        props = {f.name: f.dataType for f in rows.schema.fields}
+        props = {f.name: own_type(f.dataType) for f in rows.schema.fields}
         for kind, label, prop in graph.constraints:
             if label not in labels or prop not in props:
                 continue
@@ -431,9 +431,13 @@ class GraphSession:
     def index_row(self, label: str, prop: str) -> tuple:
         node = label in self.graph.node_labels() or label not in self.graph.edge_labels()
         parts = self.graph.node_parts([label]) if node else self.graph.edge_parts(label)
-        own = [p for p in parts if prop in p.props and not isinstance(p.props[prop], (T.ArrayType, T.StructType))]
+        own = [p for p in parts if prop in p.props and not isinstance(p.props[prop], T.ArrayType)]
         return (label, prop, "node" if node else "edge", sum(p.df.where(F.col(f"`{prop}`").isNotNull()).count() for p in own))
 
 
+def plain(value: Any, t: T.DataType) -> Any:
+    return value[value["t"]] if t == TAGGED else value
+
+
 def empty_graph(spark: SparkSession) -> GraphSession:
     return GraphSession(PropertyGraph(spark))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lodestone.errors import GraphError
 from lodestone.shared import materialize
-from lodestone.sources.graph import PropertyGraph
+from lodestone.sources.graph import PropertyGraph, tagged
 
 
 def read_strings(graph: PropertyGraph, path: str) -> DataFrame:
@@ -28,7 +28,8 @@ def cell_kind(c: Column) -> Column:
 
 
 def typed(df: DataFrame, props: list[str]) -> list[Column]:
-    """Columns with the one type that all their cells have; integers and floats make floats, others text."""
+    """Columns with the one type that all their cells have; integers and floats make floats, other mixtures the
+    tagged type, which keeps each cell's own."""
     if not props:
         return []
     kinds = df.agg(*[F.collect_set(cell_kind(F.col(f"`{p}`"))).alias(p) for p in props]).head().asDict()
@@ -42,6 +43,10 @@ def typed(df: DataFrame, props: list[str]) -> list[Column]:
             c = c.cast("long")
         elif found and found <= {1, 2}:
             c = c.cast("double")
+        elif len(found) > 1:
+            own = cell_kind(c)
+            c = F.when(own == 0, tagged(c.try_cast("boolean"), T.BooleanType())).when(own == 1, tagged(c.try_cast("long"), T.LongType())).when(
+                own == 2, tagged(c.try_cast("double"), T.DoubleType())).otherwise(tagged(c, T.StringType()))
         out.append(c.alias(p))
     return out
 

@@ -22,7 +22,7 @@ class NodePart:
 
     @property
     def props(self) -> dict[str, T.DataType]:
-        return {f.name: f.dataType for f in self.df.schema.fields if f.name not in NODE_FIELDS}
+        return {f.name: own_type(f.dataType) for f in self.df.schema.fields if f.name not in NODE_FIELDS}
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ class EdgePart:
 
     @property
     def props(self) -> dict[str, T.DataType]:
-        return {f.name: f.dataType for f in self.df.schema.fields if f.name not in EDGE_FIELDS}
+        return {f.name: own_type(f.dataType) for f in self.df.schema.fields if f.name not in EDGE_FIELDS}
 
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -56,8 +56,20 @@ def display(c: Column, t: T.DataType) -> Column:
     return F.regexp_replace(c.cast("string"), r"\.0$", "") if is_float(t) else c.cast("string")
 
 
+#: A property that holds values of several kinds: which one (``t``), and the value in its own field. Groups, joins and
+#: compares by kind and value.
+TAGGED = T.StructType(
+    [T.StructField("t", T.StringType()), T.StructField("b", T.BooleanType()), T.StructField("i", T.LongType()), T.StructField("d", T.DoubleType()), T.StructField("s", T.StringType())]
+)
+
+
+def own_type(t: T.DataType) -> T.DataType:
+    """TAGGED where ``t`` is that but for which fields may be null."""
+    return TAGGED if t.simpleString() == TAGGED.simpleString() else t
+
+
 def unify(types: list[T.DataType]) -> T.DataType:
-    """One type for a property that has several: the same, a number wide enough, or text."""
+    """One type for a property that has several: the same, a number wide enough, or the tagged one."""
     kinds = {t.simpleString(): t for t in types if not isinstance(t, T.NullType)}
     if not kinds:
         return T.StringType()
@@ -67,12 +79,32 @@ def unify(types: list[T.DataType]) -> T.DataType:
         return T.LongType()
     if all(is_int(t) or is_float(t) for t in kinds.values()):
         return T.DoubleType()
-    return T.StringType()
+    if any(isinstance(t, T.ArrayType) for t in kinds.values()):
+        return T.StringType()
+    return TAGGED
+
+
+def tagged(c: Column, own: T.DataType) -> Column:
+    """The value in the tagged form; types other than the four go in as text."""
+    if own == TAGGED:
+        return c
+    tag = "b" if isinstance(own, T.BooleanType) else "i" if is_int(own) else "d" if is_float(own) else "s"
+    fields = [F.lit(tag).alias("t")]
+    fields += [(c if f.name == tag else F.lit(None)).cast(f.dataType).alias(f.name) for f in TAGGED.fields[1:]]
+    return F.when(c.isNotNull(), F.struct(*fields)) if not isinstance(own, T.NullType) else F.lit(None).cast(TAGGED)
+
+
+def tagged_text(c: Column) -> Column:
+    return F.coalesce(c["s"], c["i"].cast("string"), display(c["d"], T.DoubleType()), c["b"].cast("string"))
 
 
 def as_type(c: Column, own: T.DataType, to: T.DataType) -> Column:
     if own == to:
         return c
+    if to == TAGGED:
+        return tagged(c, own)
+    if own == TAGGED:
+        return tagged_text(c) if isinstance(to, T.StringType) else F.coalesce(c["d"], c["i"].cast("double")).cast(to)
     return display(c, own) if isinstance(to, T.StringType) and not isinstance(own, T.NullType) else c.cast(to)
 
 
@@ -80,7 +112,7 @@ def stack(frames: list[tuple[DataFrame, dict[str, Column]]], columns: dict[str,
     """Union of frames over ``columns``; a column that a frame lacks is null there."""
     out = None
     for df, extra in frames:
-        have = {f.name: f.dataType for f in df.schema.fields}
+        have = {f.name: own_type(f.dataType) for f in df.schema.fields}
         cols = []
         for name, to in columns.items():
             if name in extra:

@@ -56,9 +56,16 @@ def test_null_logic(s):
 
 
 def test_mixed_types(s):
+    for x in ("1", "'one'", "true", "2.5", "'1'"):
+        s.query(f"INSERT (:M {{x: {x}}})")
+    s.query("INSERT (:M {y: 1})")
+    assert sorted(rows(s, "MATCH (m:M) WHERE m.x IS NOT NULL RETURN m.x")) == [("1",), ("1",), ("2.5",), ("one",), ("true",)]
+    assert rows(s, "MATCH (m:M) WHERE m.x = 1 RETURN m.x, size(m.x), m.x + 1") == [("1", None, 2.0)]
+    assert rows(s, "MATCH (m:M {x: '1'}) RETURN toString(m.x), size(m.x)") == [("1", 1)]
+    assert rows(s, "MATCH (m:M) WHERE m.x > 'a' OR m.x > 2.0 RETURN m.x ORDER BY m.x") == [("2.5",), ("one",)]
+    assert sorted(rows(s, "MATCH (m:M) RETURN m.x AS x, count(*) AS n"), key=str) == sorted([("1", 1), ("1", 1), ("2.5", 1), ("one", 1), ("true", 1), (None, 1)], key=str)
     s.query("INSERT (:M {x: 1})")
-    s.query("INSERT (:M {x: 'one'})")
-    assert sorted(rows(s, "MATCH (m:M) RETURN m.x")) == [("1",), ("one",)]
+    assert rows(s, "MATCH (m:M) RETURN count(*), count(DISTINCT m.x), sum(m.x)") == [(6, 5, 3.5)]
 
 
 def test_undirected_and_loops(s):
@@ -203,6 +210,9 @@ def test_csv(s, tmp_path):
     assert rows(s, "MATCH (a)-[r:RELATED]->(b:Co) RETURN b.name, r.w") == [("Acme", 2.0)]
     with pytest.raises(GraphError):
         s.load_csv_nodes(str(tmp_path / "n.csv"))
+    (tmp_path / "m.csv").write_text(":ID,v\n11,1\n12,x\n13,true\n14,\n")
+    s.load_csv_nodes(str(tmp_path / "m.csv"), "Mix")
+    assert rows(s, "MATCH (m:Mix) WHERE m.v = 1 OR m.v = true RETURN m.v ORDER BY toString(m.v)") == [("1",), ("true",)]
 
 
 def test_stream(spark, tmp_path, s):
