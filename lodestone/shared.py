@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local one only if the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-    return context.getCheckpointDir().rstrip("/")
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not named:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+        named = context.getCheckpointDir()
+    # with its scheme, so that readers and writers outside the JVM take the same file system
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
