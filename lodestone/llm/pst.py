@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.shared import materialize
@@ -21,7 +21,7 @@ DEPTH, SHARE, LEAST = 3, 1e-4, 20
 #: by so many standard deviations of the likelihood-ratio statistic. Weight of the shorter context in smoothing.
 DIVERGENCE, DEVIATIONS, PRIOR = 0.005, 4.0, 10.0
 #: Most frequent words whose counts every worker holds; the others are looked up by a join.
-HEAD = 400_000
+HEAD = 150_000
 #: Distinct words that a task counts before it passes the counts on.
 FLUSH = 400_000
 END = b" "  # no word has a space
@@ -63,7 +63,6 @@ class Tree:
 
     n: int = 0
     v: int = 0
-    head: dict[bytes, int] = field(default_factory=dict)  # word -> symbol << 40 | count
     root: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 probability of each symbol
     rare: float = 0.0  # log10 of the mass that rare words share
     contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -107,12 +106,12 @@ class Tree:
         return out
 
 
-def symbols(tree: Tree, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]], np.ndarray]:
-    """Symbols of some texts, each after DEPTH zeros; the counts of their words (-1: not in the head); words;
+def symbols(head: dict[bytes, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]], np.ndarray]:
+    """``head``: word -> symbol << 40 | count + 1. Symbols of some texts, each after DEPTH zeros; the counts of their words (-1: not in the head); words;
     the place of each word in the symbols."""
     words = [tokens(t) for t in texts]
     flat = [w for ws in words for w in ws]
-    got = np.fromiter(map(tree.head.get, flat, [RARE << 40] * len(flat)), dtype=np.int64, count=len(flat))
+    got = np.fromiter(map(head.get, flat, [RARE << 40] * len(flat)), dtype=np.int64, count=len(flat))
     sym, counts = got >> 40, (got & ((1 << 40) - 1)) - 1
     lengths = np.array([len(ws) for ws in words])
     place = np.arange(len(flat)) + np.repeat(DEPTH * np.arange(1, len(words) + 1), lengths)
@@ -135,16 +134,16 @@ def _pieces(batches: Iterator[pd.DataFrame], columns: list[str], size: int = 1 <
         yield rows
 
 
-def grow(docs: DataFrame, tree: Tree, depth: int, candidates: np.ndarray, text_col: str = "text") -> DataFrame:
+def grow(docs: DataFrame, head: Broadcast, depth: int, candidates: np.ndarray, text_col: str = "text") -> DataFrame:
     """(``context``, ``next``, ``c``) of all occurrences of the candidate contexts of ``depth`` symbols."""
-    shared = docs.sparkSession.sparkContext.broadcast((tree, candidates))
+    shared = docs.sparkSession.sparkContext.broadcast(candidates)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, candidates = shared.value
+        candidates = shared.value
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held = []
         for rows in _pieces(batches, ["text"]):
-            s = symbols(tree, [r[0] for r in rows])[0]
+            s = symbols(head.value, [r[0] for r in rows])[0]
             context, deep = np.zeros(len(s), np.int64), s > 0
             for d in range(1, depth + 1):
                 older = np.concatenate([np.zeros(d, np.int64), s[:-d]])
@@ -213,8 +212,9 @@ def finish(tree: Tree, entries: pd.DataFrame) -> Tree:
     return tree
 
 
-def fit(docs: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[Tree, DataFrame]:
-    """The tree learned from all rows of ``docs``, and the counts of all their tokens (``token``, ``c``).
+def fit(docs: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[Tree, Broadcast, DataFrame]:
+    """The tree learned from all rows of ``docs``, the broadcast table of the ``head`` most frequent words (see
+    :func:`symbols`; workers keep one copy for all passes), and the counts of all tokens (``token``, ``c``).
 
     Words of at least SHARE of all tokens are symbols (the end is one), all others share the symbol RARE
     and divide its mass by their counts plus one. Contexts grow a symbol at a time: those of DEPTH or
@@ -233,15 +233,16 @@ def fit(docs: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[Tree
             least = o + 1
             break
     top = counts.where((octave >= least) | (F.col("token") == F.lit(END))).toPandas()  # at most ``head`` rows and the end
-    bound = max(2.0, SHARE * tree.n)
-    frequent = top[(top["c"] >= bound)].sort_values(["c", "token"], ascending=[False, True])["token"].map(bytes).tolist()
+    frequent = top[top["c"] >= max(2.0, SHARE * tree.n)].sort_values(["c", "token"], ascending=[False, True])["token"].map(bytes).tolist()
     number = {w: i + 2 for i, w in enumerate(frequent)}
     number.setdefault(END, len(number) + 2)
-    tree.head = {w: number.get(w, RARE) << 40 | c + 1 for w, c in zip(map(bytes, top["token"]), top["c"].tolist())}
+    words = {w: number.get(w, RARE) << 40 | c + 1 for w, c in zip(map(bytes, top["token"]), top["c"].tolist())}
+    words.setdefault(END, number[END] << 40 | 1)
     own = np.zeros(len(number) + 2)
     for w, i in number.items():
-        own[i] = (tree.head[w] & ((1 << 40) - 1)) - 1 if w in tree.head else 0
-    tree.head.setdefault(END, number[END] << 40 | 1)
+        own[i] = (words[w] & ((1 << 40) - 1)) - 1
+    table = spark.sparkContext.broadcast(words)
+    del top, words
     whole = tree.n + tree.v + 1.0
     mass = np.maximum(own + 1, 0)
     mass[0], mass[RARE] = 0, 0
@@ -259,15 +260,15 @@ def fit(docs: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[Tree
     for depth in range(1, DEPTH + 1):
         if not len(candidates):
             break
-        level = materialize(grow(docs, tree, depth, candidates, text_col), "lm-level")
+        level = materialize(grow(docs, table, depth, candidates, text_col), "lm-level")
         found.append(retained(level, shorter, depth).toPandas())
         longer = level.where((F.col("c") >= least) & (F.col("next") != number[END]))
         longer = longer.select((F.shiftleft("context", BITS) + F.col("next")).alias("context")).toPandas()["context"]
         candidates, shorter = np.sort(longer.to_numpy(dtype=np.int64)), level
-    return finish(tree, pd.concat(found) if found else pd.DataFrame({"context": [], "next": [], "c": []})), counts
+    return finish(tree, pd.concat(found) if found else pd.DataFrame({"context": [], "next": [], "c": []})), table, counts
 
 
-def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, tree: Tree, head: Broadcast, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, ``n_tokens``, ``n_known``, ``base_score``, ``score``) of each row.
 
     Words of the head are scored where the text is read. A word beyond the head has the symbol RARE whatever
@@ -279,7 +280,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id"
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, at, part = shared.value, 0, TaskContext.get().partitionId()
         for rows in _pieces(batches, ["text", "id", "missing"]):
-            s, counts, words, place = symbols(tree, [r[0] for r in rows])
+            s, counts, words, place = symbols(head.value, [r[0] for r in rows])
             lengths = np.array([len(w) for w in words])
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             sym = s[place]
@@ -320,8 +321,8 @@ def held_out(id_col: str = "doc_id"):
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    tree, counts = fit(docs.where(~held_out()))
-    return score(docs, tree, counts).select(
+    tree, head, counts = fit(docs.where(~held_out()))
+    return score(docs, tree, head, counts).select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
