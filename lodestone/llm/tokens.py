@@ -23,7 +23,7 @@ END_ID = 1
 #: Documents whose ids train the dictionary, its size, documents of a file, and files at most.
 SAMPLE, DICTIONARY_BYTES, PER_FILE, MOST_FILES = 256, 64 << 10, 8000, 20_000
 #: Entries that a worker's memory of encoded words holds before it starts anew.
-MEMORY = 1_000_000
+MEMORY = 500_000
 
 #: Fixed values of the tokenizers for which words can be encoded on their own: white space only separates
 #: and is dropped, and a word is a run of letters, one digit, or a run of other characters.
