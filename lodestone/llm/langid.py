@@ -18,7 +18,6 @@ PER_LANGUAGE, CALIBRATION = 1500, 0.2
 #: Languages at most; more are refused, not dropped.
 MOST_LANGUAGES = 500
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
@@ -54,7 +53,7 @@ class Model:
         return total / max(1, n) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not LETTER.search(text):
+        if text is None or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         z = self.logits(text) / self.temperature
         p = np.exp(z - z.max())
