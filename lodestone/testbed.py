@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,9 +18,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+@lru_cache(maxsize=16)
 def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Region, Nation, Customer, Supplier, Part, Order and Doc nodes; IN_REGION, IN_NATION, PLACED, CONTAINS and
-    SUPPLIES edges. Lazy: a statement reads the tables and columns that it needs."""
+    SUPPLIES edges. Lazy: a statement reads the tables and columns that it needs. The definition (no data) is kept, as
+    a session keeps its graph."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     b = GraphBuilder(spark)
     b.node_table("Region", t("region"), "r_regionkey", 1)
@@ -39,6 +42,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return b.build()
 
 
+@lru_cache(maxsize=16)
 def user_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Users and NEXT edges: the user of each event to that of the following one, weighing the first event's value.
     Each pair of following events comes from a join on the event's number, not from one global window."""
