@@ -104,7 +104,7 @@ def near_embeddings(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
     rows = materialize(rows.withColumn("_class", F.when(F.col("_v").isNotNull(), F.sha2(F.concat_ws(",", F.col("_v").cast("array<string>")), 256))), "emb-rows")
     classes = rows.where("_class is not null").groupBy("_class").agg(F.count(F.lit(1)).alias("many"), F.min(id_col).alias("least"), F.first("_v").alias("v"))
     n = classes.count()
-    blocks = max(1, math.ceil(n / BLOCK))
+    blocks = max(1, math.ceil(n / BLOCK), min(8, math.ceil(16 * n / BLOCK)))  # few vectors make small blocks, for enough tasks
     way = F.array(*[F.lit(float(x)) for x in np.random.default_rng(SEED).standard_normal(32)])
     classes = classes.withColumn("_p", F.aggregate(F.zip_with("v", way, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))))
     classes = materialize(classes.withColumn("no", F.monotonically_increasing_id()), "emb-classes")
