@@ -63,7 +63,7 @@ def mix_sources(
     narrow = docs.select(
         F.col(id_col),
         *carry,
-        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        _words(text_col).alias("size"),
         stratum(source_col).alias("stratum"),
         seeded(id_col, seed).alias("_key"),
     )
@@ -87,15 +87,34 @@ def mix_sources(
     )
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
     """``docs`` as the mix takes it: each row as many times as its repetitions, texts whole, columns as they are.
 
-    Rows are numbered in a written copy; repetitions come back by that number. Rows that the mix takes no
-    words of (with size 0 among them) are left out."""
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    times = mix_sources(keyed, id_col=id_col, whole=True, carry=("_row",), **options).where("repeats > 0").select("_row", F.col("repeats").alias("_times"))
-    out = keyed.join(materialize(times, "mix-times"), "_row")
-    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    In the seeded order of a source, the rows up to some place are taken once more than those behind it.
+    So a row for each source says all: the whole repetitions, and that last place (key, id and size).
+    It is joined to the documents where they are read (broadcast up to 200,000 sources, by key beyond),
+    and no text is shuffled or copied. Rows equal in id and size at that very place are all taken alike,
+    which can move the words of a source with such repeated rows. Rows that the mix takes no words of (with
+    size 0 among them) are left out.
+    """
+    order = lambda key: F.struct(key.alias("k"), F.col(id_col).alias("i"), _words(text_col).alias("s"))
+    times = mix_sources(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, whole=True, carry=(source_col,), **options)
+    times = times.withColumns({"_stratum": stratum(source_col), "_whole": F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long")})
+    more = (F.col("repeats") > F.col("_whole")) & (F.col("size") > 0)
+    place = F.struct(seeded(id_col, seed).alias("k"), F.col(id_col).alias("i"), F.col("size").alias("s"))
+    cuts = times.groupBy("_stratum").agg(F.max("_whole").alias("_whole"), F.max(F.when(more, place)).alias("_cut"))
+    cuts = materialize(cuts, "mix-cuts")
+    if cuts.count() <= 200_000:
+        cuts = F.broadcast(cuts)
+    out = docs.withColumns({"_stratum": stratum(source_col), "_place": order(seeded(id_col, seed))}).join(cuts, "_stratum")
+    extra = F.coalesce(F.col("_place") <= F.col("_cut"), F.lit(False)).cast("int")
+    repeats = F.when(F.col("_place.s") > 0, F.col("_whole").cast("int") + extra).otherwise(0)
+    out = out.withColumn("_times", repeats).where("_times > 0")
+    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def _words(text_col: str):
+    return F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
