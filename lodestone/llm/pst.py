@@ -5,18 +5,18 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.shared import materialize
+from lodestone.shared import forget, materialize
 
-#: Longest context; least share of all tokens for a context and for a word that is a symbol of its own (so at
-#: most 1 / SHARE of either at each length); least count of a context.
-DEPTH, SHARE, LEAST = 3, 1e-4, 20
+#: Longest context; least count, at every size, of a word that is a symbol of its own and of a context.
+DEPTH, LEAST = 3, 20
 #: A context stays if its divergence from the next shorter one is at least so many nats a token, and above chance
 #: by so many standard deviations of the likelihood-ratio statistic. Weight of the shorter context in smoothing.
 DIVERGENCE, DEVIATIONS, PRIOR = 0.005, 4.0, 10.0
@@ -24,9 +24,14 @@ DIVERGENCE, DEVIATIONS, PRIOR = 0.005, 4.0, 10.0
 HEAD = 150_000
 #: Distinct words that a task counts before it passes the counts on.
 FLUSH = 400_000
+#: Places that a task counts or scores at once; rows of the tree in one part; bits (power of 2) of the map that
+#: tells most contexts that can't be frequent. It only saves work: what it lets through is counted exactly.
+PIECE, PART, MAP = 1 << 20, 1 << 20, 26
 END = b" "  # no word has a space
-BITS = 14
-RARE = 1
+#: Symbols for rare words and for the end; LOW takes the later symbol of two packed in a long.
+RARE, LAST, LOW = 1, (1 << 31) - 1, (1 << 32) - 1
+#: Tell the kinds of rows of the tree apart: entries as they are, contexts, symbols.
+CONTEXT, SYMBOL = 0x3C6EF372FE94F82B, 0x1F83D9ABFB41BD6B
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -54,74 +59,83 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def mix(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """64-bit key of a sequence and the symbol after it."""
+    x = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)) ^ symbol.view(np.uint64)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def contexts(s: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For 0 to ``depth``: the key of so many symbols before each place of ``s`` (each text after DEPTH zeros), and
+    whether the place is in a text with so many before it."""
+    keys, deep = [np.zeros(len(s), np.int64)], [s != 0]
+    back = lambda x: np.concatenate([np.zeros(1, x.dtype), x[:-1]])
+    for d in range(1, depth + 1):
+        keys.append(mix(back(keys[-1]), back(s)))
+        older = np.concatenate([np.zeros(min(d, len(s)), np.int64), s[: max(0, len(s) - d)]])
+        deep.append(deep[-1] & (older != 0))
+    return keys, deep
+
+
 @dataclass
 class Tree:
-    """Symbols: 0 stands before a text, RARE for all words without a symbol, others from 2. A context is the
-    number that its symbols make, BITS each, the latest lowest. ``contexts`` (sorted) are the retained ones,
-    ``totals`` their counts, ``parents`` the place of the next shorter retained one (-1: the root); entries are
-    (place of the context, next symbol) with the smoothed log10 probability."""
-
-    n: int = 0
-    v: int = 0
-    root: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 probability of each symbol
-    rare: float = 0.0  # log10 of the mass that rare words share
-    contexts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    totals: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    parents: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    entries: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    logs: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def states(self, s: np.ndarray) -> np.ndarray:
-        """Place of the longest retained context before each symbol of ``s`` (-1: none). ``s`` starts each
-        text with DEPTH zeros."""
-        state = np.full(len(s), -1)
-        if not len(self.contexts):
-            return state
-        context, deep = np.zeros(len(s), np.int64), np.ones(len(s), bool)
-        for d in range(1, DEPTH + 1):
-            older = np.concatenate([np.zeros(d, np.int64), s[:-d]])
-            deep &= older > 0
-            context = context | (older << (BITS * (d - 1)))
-            at = np.searchsorted(self.contexts, context).clip(max=len(self.contexts) - 1)
-            found = deep & (self.contexts[at] == context)
-            state[found] = at[found]
-        return state
+    """Symbols: 0 stands before a text, RARE for all words without a symbol, LAST for the end, other words have
+    31-bit numbers. ``levels``: for each depth the entries (``hi`` the third and second symbol before, ``lo`` the one
+    before and the next, two in a long, zero for none; ``c``, ``total`` of the context, ``p`` smoothed probability,
+    ``kept``); ``symbols`` (``lo`` the symbol, ``p``); ``rows`` (``key``, ``value``): what scores are looked up in, log10 of
+    p by entry, of the weight of the shorter context by retained context, of p by symbol. All are tables."""
+
+    n: int
+    v: int
+    rare: float  # log10 of the mass that rare words share
+    levels: list[DataFrame]
+    symbols: DataFrame
+    rows: DataFrame
+    parts: int
+
+    @cached_property
+    def _local(self) -> tuple:
+        root = {r.lo: r.p for r in self.symbols.collect()}
+        own, entries = {}, {}
+        for level in self.levels:
+            for r in level.where("kept").collect():
+                own[r.hi, r.lo >> 32] = r.total
+                entries[r.hi, r.lo] = r.p
+        return root, [0, RARE, *sorted(s for s in root if s != RARE)], own, entries
+
+    @property
+    def root(self) -> np.ndarray:
+        """For looking into small trees, as ``contexts`` and ``log_probs``; they fetch the whole tree."""
+        root, names, *_ = self._local
+        with np.errstate(divide="ignore"):
+            return np.log10([root.get(x, 0.0) for x in names])
+
+    @property
+    def contexts(self) -> list[tuple]:
+        return list(self._local[2])
 
     def log_probs(self, state: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """log10 of the smoothed probability of each symbol in its state."""
-        out, state, at = np.zeros(len(s)), state.copy(), np.arange(len(s))
-        while len(at):
-            top = state[at] < 0
-            out[at[top]] += self.root[s[at[top]]]
-            at = at[~top]
-            if not len(at):
-                break
-            key = (state[at] << BITS) | s[at]
-            place = np.searchsorted(self.entries, key).clip(max=max(0, len(self.entries) - 1))
-            found = self.entries[place] == key
-            out[at[found]] += self.logs[place[found]]
-            at = at[~found]
-            out[at] += np.log10(PRIOR / (self.totals[state[at]] + PRIOR))
-            state[at] = self.parents[state[at]]
-        return out
-
-
-def symbols(head: dict[bytes, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]], np.ndarray]:
-    """``head``: word -> symbol << 40 | count + 1. Symbols of some texts, each after DEPTH zeros; the counts of their words (-1: not in the head); words;
-    the place of each word in the symbols."""
-    words = [tokens(t) for t in texts]
-    flat = [w for ws in words for w in ws]
-    got = np.fromiter(map(head.get, flat, [RARE << 40] * len(flat)), dtype=np.int64, count=len(flat))
-    sym, counts = got >> 40, (got & ((1 << 40) - 1)) - 1
-    lengths = np.array([len(ws) for ws in words])
-    place = np.arange(len(flat)) + np.repeat(DEPTH * np.arange(1, len(words) + 1), lengths)
-    s = np.zeros(len(flat) + DEPTH * len(words), np.int64)
-    s[place] = sym
-    return s, counts, words, place
+        """log10 of the smoothed probability of each symbol (its place in ``root``) in its state (place in
+        ``contexts``, -1: none)."""
+        root, names, own, entries = self._local
+        known, out = list(own), []
+        for at, i in zip(state, s):
+            hi, last = known[at] if at >= 0 else (0, 0)
+            weight, symbol = 1.0, names[i]
+            while last and (hi, last << 32 | symbol) not in entries:
+                if (hi, last) in own:
+                    weight *= PRIOR / (own[hi, last] + PRIOR)
+                hi, last = (hi & LOW if hi > LOW else 0, last if hi else 0)
+            out.append(math.log10(weight * (entries[hi, last << 32 | symbol] if last else root.get(symbol, 0.0))))
+        return np.array(out)
 
 
 def _pieces(batches: Iterator[pd.DataFrame], columns: list[str], size: int = 1 << 21) -> Iterator[list[tuple]]:
-    """Rows of all batches in lists of about ``size`` characters."""
+    """Rows of all batches in lists of about ``size`` characters (or bytes) of the first column."""
     rows, held = [], 0
     for batch in batches:
         for row in zip(*[batch[c] for c in columns]):
@@ -134,96 +148,163 @@ def _pieces(batches: Iterator[pd.DataFrame], columns: list[str], size: int = 1 <
         yield rows
 
 
-def grow(docs: DataFrame, head: Broadcast, depth: int, candidates: np.ndarray, text_col: str = "text") -> DataFrame:
-    """(``context``, ``next``, ``c``) of all occurrences of the candidate contexts of ``depth`` symbols."""
-    shared = docs.sparkSession.sparkContext.broadcast(candidates)
+def _joined(own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of some texts, each after DEPTH zeros; the first place and the length of each text."""
+    lengths = np.array([len(x) // 4 for x in own])
+    s = np.frombuffer(b"".join(bytes(DEPTH * 4) + x for x in own), np.int32).astype(np.int64)
+    return s, np.cumsum(lengths + DEPTH) - lengths, lengths
+
+
+def encode(docs: DataFrame, head: Broadcast, counts: DataFrame, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``sym`` the symbols of a row as bytes, ``id``, ``missing``, ``n_tokens``, ``n_known``, ``base`` and ``rare`` the sums
+    of log10(count + 1) over all words and over the rare ones). Words of the head are known where the text is
+    read; the others go to a join with the table of counts and come back to the row."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (table, symbol, count), row = head.value, TaskContext.get().partitionId() << 33
+        for rows in _pieces(batches, ["text", "id", "missing"]):
+            words = [tokens(r[0]) for r in rows]
+            flat = [w for ws in words for w in ws]
+            at = np.fromiter(map(table.get, flat, [-1] * len(flat)), dtype=np.int64, count=len(flat))
+            lengths = np.array([len(ws) for ws in words])
+            ends = np.cumsum(lengths)
+            starts = ends - lengths
+            s, c = np.where(at < 0, RARE, symbol[at]), np.where(at < 0, 0, count[at])
+            logs, add = np.log10(c + 1.0), lambda x: np.add.reduceat(x, starts)  # noqa: B023
+            unseen = np.flatnonzero(at < 0)
+            tails = [
+                [{"at": int(j - a), "token": flat[j]} for j in unseen[x:y]]
+                for a, x, y in zip(starts, np.searchsorted(unseen, starts), np.searchsorted(unseen, ends))
+            ]
+            yield pd.DataFrame(
+                {"row": row + np.arange(len(rows)), "id": [r[1] for r in rows], "missing": [r[2] for r in rows], "n_tokens": lengths,
+                 "n_known": add((c > 0).astype(np.int64)), "base": add(logs), "rare": add(np.where(s == RARE, logs, 0.0)),
+                 "sym": [s[a:b].astype(np.int32).tobytes() for a, b in zip(starts, ends)], "tail": tails}
+            )
+            row += len(rows)
+
+    key = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
+    source = docs.select(F.col(text_col).alias("text"), F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("missing"))
+    kind = "row long, id long, missing boolean, n_tokens long, n_known long, base double, rare double, sym binary, tail array<struct<at:int,token:binary>>"
+    rows = materialize(source.mapInPandas(read, kind), "lm-read")
+    tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.at", "t.token").join(counts, "token")
+    log, rare = F.log10(F.col("c") + 1.0), F.col("symbol") == RARE
+    tail = tail.groupBy("row").agg(
+        F.count(F.lit(1)).alias("_k"), F.sum(log).alias("_s"), F.sum(F.when(rare, log).otherwise(0.0)).alias("_r"),
+        F.collect_list(F.when(~rare, F.struct("at", "symbol"))).alias("_own"),
+    )
+
+    @F.pandas_udf("binary")
+    def patched(sym: pd.Series, places: pd.Series, symbols: pd.Series) -> pd.Series:
+        out = []
+        for x, at, own in zip(sym, places, symbols):
+            if at is not None and len(at):
+                s = np.frombuffer(x, np.int32).copy()
+                s[np.asarray(at)] = np.asarray(own, dtype=np.int32)
+                x = s.tobytes()
+            out.append(x)
+        return pd.Series(out)
+
+    more = lambda own, add: (F.col(own) + F.coalesce(add, F.lit(0))).alias(own)
+    out = rows.drop("tail").join(tail, "row", "left")
+    out = materialize(
+        out.select("id", "missing", "n_tokens", more("n_known", "_k"), more("base", "_s"), more("rare", "_r"), patched("sym", "_own.at", "_own.symbol").alias("sym")),
+        "lm-symbols",
+    )
+    forget(rows)
+    return out
+
+
+def row_keys(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, as :func:`contexts` makes them, of the context of each entry and of the entry."""
+    key = np.zeros(len(hi), np.int64)
+    for s in (hi >> 32, hi & LOW, lo >> 32):
+        key = np.where(s > 0, mix(key, s), key)
+    return key, mix(key, lo & LOW)
+
+
+def frequent_map(level: DataFrame) -> np.ndarray:
+    """Bits of the keys of all entries of at least LEAST that can be contexts, by place in a map of bounded size."""
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            place = np.unique(row_keys(batch["hi"].to_numpy(), batch["lo"].to_numpy())[1] & ((1 << MAP) - 1))
+            yield pd.DataFrame({"w": place >> 5, "b": 1 << (place & 31)})
+
+    some = level.where((F.col("c") >= LEAST) & (F.col("lo").bitwiseAND(LOW) != LAST)).select("hi", "lo")
+    found = some.mapInPandas(words, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << (MAP - 5), np.uint32)
+    out[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return out
+
+
+def grow(encoded: DataFrame, depth: int, frequent: np.ndarray | None) -> DataFrame:
+    """(``hi``, ``lo``, ``c``) of all occurrences of contexts of ``depth`` symbols that the map lets through."""
+    shared = encoded.sparkSession.sparkContext.broadcast(frequent)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        candidates = shared.value
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held = []
-        for rows in _pieces(batches, ["text"]):
-            s = symbols(head.value, [r[0] for r in rows])[0]
-            context, deep = np.zeros(len(s), np.int64), s > 0
-            for d in range(1, depth + 1):
-                older = np.concatenate([np.zeros(d, np.int64), s[:-d]])
-                deep &= older > 0
-                context |= older << (BITS * (d - 1))
-            context, s = context[deep], s[deep]
-            at = np.searchsorted(candidates, context).clip(max=len(candidates) - 1)
-            known = candidates[at] == context
-            held.append(np.unique((at[known] << BITS) | s[known], return_counts=True))
-            if len(held) >= 16:
-                keys, sums = _merge([(keys, sums), *held])
-                held = []
-        keys, sums = _merge([(keys, sums), *held])
-        for i in range(0, len(keys), 1 << 18):
-            k = keys[i : i + (1 << 18)]
-            yield pd.DataFrame({"context": candidates[k >> BITS], "next": k & ((1 << BITS) - 1), "c": sums[i : i + (1 << 18)]})
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "context long, next int, c long")
-    return counted.groupBy("context", "next").agg(F.sum("c").alias("c"))
-
-
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    sums = np.zeros(len(keys), np.int64)
-    np.add.at(sums, where, np.concatenate([c for _, c in parts]))
-    return keys, sums
+        bits = shared.value
+        for rows in _pieces(batches, ["sym"], PIECE * 4):
+            s, _, _ = _joined([r[0] for r in rows])
+            keys, deep = contexts(s, depth)
+            at = np.flatnonzero(deep[depth])
+            if bits is not None:
+                k = keys[depth][at]
+                at = at[(bits[(k & ((1 << MAP) - 1)) >> 5] >> (k & 31).astype(np.uint32)) & 1 > 0]
+            lo, hi = s[at - 1] << 32 | s[at], np.zeros(len(at), np.int64)
+            for d in range(2, depth + 1):
+                hi |= s[at - d] << (32 * (d - 2))
+            order = np.lexsort((lo, hi))
+            lo, hi = lo[order], hi[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(lo)), bool), (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+            out = pd.DataFrame({"hi": hi[first], "lo": lo[first], "c": np.diff(np.append(first, len(lo)))})
+            for i in range(0, len(out), 1 << 17):
+                yield out[i : i + (1 << 17)]
+
+    return encoded.select("sym").mapInPandas(count, "hi long, lo long, c long").groupBy("hi", "lo").agg(F.sum("c").alias("c"))
 
 
 def retained(level: DataFrame, shorter: DataFrame, depth: int) -> DataFrame:
-    """Entries of the contexts of ``level`` whose next-symbol distribution diverges from that of the context one
-    symbol shorter: the likelihood-ratio statistic 2 * c * KL is above its mean by chance (the number of next
-    symbols less one) by DEVIATIONS of its standard deviations, and KL is at least DIVERGENCE."""
-    mask = F.lit((1 << (BITS * (depth - 1))) - 1)
-    total = level.groupBy("context").agg(F.sum("c").alias("total"))
-    base = shorter.groupBy(F.col("context").alias("base")).agg(F.sum("c").alias("base_total"))
-    own = level.join(total, "context").withColumn("base", F.col("context").bitwiseAND(mask))
-    own = own.join(shorter.select(F.col("context").alias("base"), "next", F.col("c").alias("base_c")), ["base", "next"]).join(base, "base")
+    """Entries of the contexts of at least LEAST, with ``total``, ``p`` and ``kept``. A context is kept if its
+    next-symbol distribution diverges from that of the context one symbol shorter: the likelihood-ratio
+    statistic 2 * c * KL is above its mean by chance (the number of next symbols less one) by DEVIATIONS of its
+    standard deviations, and KL is at least DIVERGENCE. ``p`` is (c + PRIOR * p in the shorter) / (total + PRIOR)
+    where the context is kept, else that of the shorter one."""
+    last, low = F.shiftright("lo", 32).alias("last"), F.lit(LOW)
+    total = level.groupBy("hi", last).agg(F.sum("c").alias("total")).where(F.col("total") >= LEAST)
+    below = shorter.select(F.col("hi").alias("bh"), F.col("lo").alias("bl"), F.col("c").alias("base_c"), F.col("total").alias("base_total"), F.col("p").alias("base_p"))
+    bl = F.col("lo").bitwiseAND(low) if depth == 1 else F.col("lo")
+    own = level.select("*", last).join(total, ["hi", "last"]).withColumns({"bh": F.col("hi").bitwiseAND(low) if depth > 2 else F.lit(0).cast("long"), "bl": bl})
+    own = materialize(own.join(below, ["bh", "bl"]).drop("bh", "bl"), "lm-own")
     gain = F.sum(F.col("c") * F.log((F.col("c") / F.col("total")) / (F.col("base_c") / F.col("base_total"))))
-    test = own.groupBy("context").agg(gain.alias("g"), F.first("total").alias("total"), F.count(F.lit(1)).alias("k"))
+    test = own.groupBy("hi", "last").agg(gain.alias("g"), F.first("total").alias("t"), F.count(F.lit(1)).alias("k"))
     chance = F.col("k") - 1 + DEVIATIONS * F.sqrt(2.0 * F.col("k"))
-    kept = test.where((F.col("g") >= DIVERGENCE * F.col("total")) & (2 * F.col("g") > chance)).select("context")
-    return level.join(kept, "context", "left_semi")
-
-
-def finish(tree: Tree, entries: pd.DataFrame) -> Tree:
-    """Fill the tree from the entries (context, next, c) of the retained contexts: the probability of a seen
-    symbol is (c + PRIOR * its probability in the next shorter retained context) / (total + PRIOR)."""
-    entries = entries.sort_values(["context", "next"])
-    context, nxt, c = (entries[x].to_numpy(dtype=np.int64) for x in ("context", "next", "c"))
-    tree.contexts, where = np.unique(context, return_inverse=True)
-    tree.totals = np.bincount(where, weights=c, minlength=len(tree.contexts)) if len(c) else np.zeros(0)
-    tree.parents = np.full(len(tree.contexts), -1)
-    depth = np.zeros(len(tree.contexts), np.int64)
-    for d in range(1, DEPTH + 1):
-        depth += tree.contexts >> (BITS * (d - 1)) > 0
-    for d in range(1, DEPTH):
-        suffix = tree.contexts & ((1 << (BITS * d)) - 1)
-        at = np.searchsorted(tree.contexts, suffix).clip(max=max(0, len(tree.contexts) - 1))
-        longer = (depth > d) & (tree.contexts[at] == suffix) if len(at) else np.zeros(0, bool)
-        tree.parents[longer] = at[longer]
-    tree.entries, tree.logs = (where.astype(np.int64) << BITS) | nxt, np.zeros(len(c))
-    for d in range(1, DEPTH + 1):
-        now = depth[where] == d if len(c) else np.zeros(0, bool)
-        below = 10.0 ** tree.log_probs(tree.parents[where[now]], nxt[now])
-        tree.logs[now] = np.log10((c[now] + PRIOR * below) / (tree.totals[where[now]] + PRIOR))
-    return tree
+    kept = test.where((F.col("g") >= DIVERGENCE * F.col("t")) & (2 * F.col("g") > chance)).select("hi", "last", F.lit(True).alias("kept"))
+    out = own.join(kept, ["hi", "last"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    p = F.when(F.col("kept"), (F.col("c") + PRIOR * F.col("base_p")) / (F.col("total") + PRIOR)).otherwise(F.col("base_p"))
+    out = materialize(out.select("hi", "lo", "c", "total", p.alias("p"), "kept"), "lm-level")
+    forget(own)
+    return out
 
 
 def fit(docs: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[Tree, Broadcast, DataFrame]:
-    """The tree learned from all rows of ``docs``, the broadcast table of the ``head`` most frequent words (see
-    :func:`symbols`; workers keep one copy for all passes), and the counts of all tokens (``token``, ``c``).
+    """The tree learned from all rows of ``docs``, the broadcast table of the ``head`` most frequent words (workers
+    keep one copy for all passes), and the counts of all tokens (``token``, ``c``, ``symbol``).
 
-    Words of at least SHARE of all tokens are symbols (the end is one), all others share the symbol RARE
-    and divide its mass by their counts plus one. Contexts grow a symbol at a time: those of DEPTH or
-    fewer symbols that hold SHARE of the tokens and at least LEAST are counted over all rows, and stay
-    if they pass :func:`retained`. An empty table: a tree that gives every token the same share."""
+    Words of at least LEAST are symbols (the end is one), all others share the symbol RARE and divide its
+    mass by their counts plus one. Contexts of DEPTH or fewer symbols and at least LEAST are counted over
+    all rows, a depth at a time, and stay if they pass :func:`retained`; both grow with the table. An empty
+    table: a tree that gives every token the same share."""
     spark = docs.sparkSession
-    counts = materialize(count_tokens(docs, text_col), "lm-counts")
-    tree, got = Tree(), counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).head()
-    tree.n, tree.v = got["n"] or 0, got["v"]
+    plain, end = materialize(count_tokens(docs, text_col), "lm-tokens"), F.col("token") == F.lit(END)
+    named = plain.where((F.col("c") >= LEAST) & ~end)
+    number, step = F.monotonically_increasing_id(), max(1, named.rdd.getNumPartitions())
+    named = named.withColumn("symbol", number.bitwiseAND((1 << 33) - 1) * step + F.shiftright(number, 33) + 2)
+    others = plain.where((F.col("c") < LEAST) | end).withColumn("symbol", F.when(end, F.lit(LAST)).otherwise(F.lit(RARE)).cast("long"))
+    counts = materialize(named.union(others), "lm-counts")
+    forget(plain)
+    got = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).head()
+    n, v = got["n"] or 0, got["v"]
     octave = F.floor(F.log2("c") * 16).cast("int")  # of a count; few hundred values
     sizes = sorted(counts.groupBy(octave.alias("o")).count().collect(), reverse=True)
     least, held = 0, 0
@@ -233,84 +314,140 @@ def fit(docs: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[Tree
             least = o + 1
             break
     top = counts.where((octave >= least) | (F.col("token") == F.lit(END))).toPandas()  # at most ``head`` rows and the end
-    frequent = top[top["c"] >= max(2.0, SHARE * tree.n)].sort_values(["c", "token"], ascending=[False, True])["token"].map(bytes).tolist()
-    number = {w: i + 2 for i, w in enumerate(frequent)}
-    number.setdefault(END, len(number) + 2)
-    words = {w: number.get(w, RARE) << 40 | c + 1 for w, c in zip(map(bytes, top["token"]), top["c"].tolist())}
-    words.setdefault(END, number[END] << 40 | 1)
-    own = np.zeros(len(number) + 2)
-    for w, i in number.items():
-        own[i] = (words[w] & ((1 << 40) - 1)) - 1
-    table = spark.sparkContext.broadcast(words)
-    del top, words
-    whole = tree.n + tree.v + 1.0
-    mass = np.maximum(own + 1, 0)
-    mass[0], mass[RARE] = 0, 0
-    mass[RARE] = max(1.0, whole - mass.sum())
-    tree.rare = math.log10(mass[RARE])
-    with np.errstate(divide="ignore"):
-        tree.root = np.log10(mass / mass.sum())
-    least = max(LEAST, math.ceil(SHARE * tree.n))
-    base = own.copy()
-    base[RARE] = max(0.0, tree.n - own.sum())
-    candidates = np.flatnonzero(base >= least).astype(np.int64)
-    candidates = candidates[candidates != number[END]]
-    shorter = spark.createDataFrame([(0, i, int(x)) for i, x in enumerate(base) if x > 0] or [(0, 0, 0)], "context long, next int, c long")
-    found = []
+    words = {w: i for i, w in enumerate(map(bytes, top["token"]))}
+    own = top["symbol"].to_numpy(dtype=np.int64), top["c"].to_numpy(dtype=np.int64)
+    if END not in words:
+        words[END] = len(words)
+        own = np.append(own[0], LAST), np.append(own[1], 0)
+    table = spark.sparkContext.broadcast((words, *own))
+    del top, words, own
+    whole = n + v + 1.0
+    mass = F.sum("c") + F.count(F.lit(1)) + F.when(F.col("symbol") == RARE, 1).otherwise(0)
+    first = counts.groupBy("symbol").agg(F.sum("c").alias("c"), mass.alias("m"))
+    first = first.union(spark.createDataFrame([(RARE, 0, 1), (LAST, 0, 1)], first.schema).join(first.select("symbol"), "symbol", "left_anti"))
+    first = materialize(first.select(F.lit(0).cast("long").alias("hi"), F.col("symbol").alias("lo"), "c", F.lit(n).cast("long").alias("total"), (F.col("m") / whole).alias("p")), "lm-first")
+    rare = math.log10(first.where(F.col("lo") == RARE).head()["p"] * whole)
+    encoded, shorter, levels, frequent = encode(docs, table, counts, None, text_col), first, [], None
     for depth in range(1, DEPTH + 1):
-        if not len(candidates):
-            break
-        level = materialize(grow(docs, table, depth, candidates, text_col), "lm-level")
-        found.append(retained(level, shorter, depth).toPandas())
-        longer = level.where((F.col("c") >= least) & (F.col("next") != number[END]))
-        longer = longer.select((F.shiftleft("context", BITS) + F.col("next")).alias("context")).toPandas()["context"]
-        candidates, shorter = np.sort(longer.to_numpy(dtype=np.int64)), level
-    return finish(tree, pd.concat(found) if found else pd.DataFrame({"context": [], "next": [], "c": []})), table, counts
+        level = materialize(grow(encoded, depth, frequent), "lm-grown")
+        levels.append(retained(level, shorter, depth))
+        forget(level)
+        shorter = levels[-1]
+        frequent = frequent_map(shorter) if depth < DEPTH else None
+    forget(encoded)
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            context, entry = row_keys(batch["hi"].to_numpy(), batch["lo"].to_numpy())
+            yield pd.DataFrame({"key": np.where(batch["entry"], entry, context ^ CONTEXT), "value": batch["value"]})
+
+    rows = first.select(F.col("lo").bitwiseXOR(F.lit(SYMBOL)).alias("key"), F.log10("p").alias("value"))
+    for level in levels:
+        kept = level.where("kept")
+        whole = kept.groupBy("hi", F.shiftright("lo", 32).alias("last")).agg(F.first("total").alias("t"))
+        whole = whole.select("hi", F.shiftleft("last", 32), F.log10(PRIOR / (F.col("t") + PRIOR)), F.lit(False))
+        both = kept.select("hi", "lo", F.log10("p").alias("value"), F.lit(True).alias("entry")).union(whole)
+        rows = rows.union(both.mapInPandas(keyed, "key long, value double"))
+    rows = materialize(rows, "lm-tree")
+    return Tree(n, v, rare, levels, first, rows, max(1, math.ceil(rows.count() / PART))), table, counts
+
+
+def asked(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that the places of ``s`` look up, each once; and for each place in a text the places among them of its
+    symbol, its DEPTH contexts and its DEPTH entries (-1: before the text)."""
+    keys, deep = contexts(s, DEPTH)
+    at = np.flatnonzero(deep[0])
+    every, there = [s[at] ^ SYMBOL], [deep[0][at]]
+    for d in range(1, DEPTH + 1):
+        every += [keys[d][at] ^ CONTEXT, mix(keys[d][at], s[at])]
+        there += [deep[d][at]] * 2
+    there = np.concatenate(there)
+    places = np.full(len(there), -1)
+    unique, places[there] = np.unique(np.concatenate(every)[there], return_inverse=True)
+    return unique, places.reshape(2 * DEPTH + 1, -1)
+
+
+def log_probs(places: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each place, from what :func:`asked` gives and the values found (nan: none)."""
+    values = np.append(values, np.nan)  # -1
+    out, open_ = np.zeros(places.shape[1]), np.ones(places.shape[1], bool)
+    for d in range(DEPTH, 0, -1):
+        weight, entry = values[places[2 * d - 1]], values[places[2 * d]]
+        kept = open_ & ~np.isnan(weight)
+        found = kept & ~np.isnan(entry)
+        out[found] += entry[found]
+        out[kept & ~found] += weight[kept & ~found]
+        open_ &= ~found
+    out[open_] += values[places[0]][open_]
+    return out
 
 
 def score(docs: DataFrame, tree: Tree, head: Broadcast, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, ``n_tokens``, ``n_known``, ``base_score``, ``score``) of each row.
 
-    Words of the head are scored where the text is read. A word beyond the head has the symbol RARE whatever
-    its count, and adds log10(count + 1) to both scores: such words go, counted for each text, to a join
-    with the table of counts, and their sums come back to the row."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    per_token = math.log10(tree.n + tree.v + 1)
+    Rows are taken in bundles of about PIECE places. A bundle's keys go, each once and packed, to the parts
+    of the tree that hold them by hash; the values come back to the bundle, which then scores its places.
+    Parts grow in number with the tree, not in size."""
+    per_token, parts, rare = math.log10(tree.n + tree.v + 1), tree.parts, tree.rare
+    own = ["sym", "id", "missing", "n_tokens", "n_known", "base", "rare"]
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, at, part = shared.value, 0, TaskContext.get().partitionId()
-        for rows in _pieces(batches, ["text", "id", "missing"]):
-            s, counts, words, place = symbols(head.value, [r[0] for r in rows])
-            lengths = np.array([len(w) for w in words])
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            sym = s[place]
-            logs = tree.log_probs(tree.states(s)[place], sym)
-            known = np.log10(np.maximum(counts, 0) + 1.0)
-            logs = logs + np.where(sym == RARE, known - tree.rare, 0.0)
-            add = lambda x: np.add.reduceat(x, starts)
-            unseen, tails = np.flatnonzero(counts < 0), [None] * len(rows)
-            flat = [w for ws in words for w in ws] if len(unseen) else []
-            for i, (a, b) in enumerate(zip(np.searchsorted(unseen, starts), np.searchsorted(unseen, starts + lengths))):
-                tails[i] = [flat[j] for j in unseen[a:b]]
-            yield pd.DataFrame(
-                {"row": (part << 33) + at + np.arange(len(rows)), "id": [r[1] for r in rows], "missing": [r[2] for r in rows],
-                 "n_tokens": lengths, "n_known": add((counts > 0).astype(np.int64)), "base": add(known), "score": add(logs), "tail": tails}
-            )
-            at += len(rows)
+    def bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bundle = TaskContext.get().partitionId() << 33
+        for rows in _pieces(batches, own, PIECE * 4):
+            yield pd.DataFrame([[bundle, *map(list, zip(*rows))]], columns=["bundle", *own])
+            bundle += 1
 
-    source = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("missing"))
-    kind = "row long, id long, missing boolean, n_tokens long, n_known long, base double, score double, tail array<binary>"
-    rows = materialize(source.mapInPandas(judge, kind), "lm-scores")
-    tail = rows.select("row", F.explode("tail").alias("token")).join(counts, "token")
-    tail = tail.groupBy("row").agg(F.count(F.lit(1)).alias("_k"), F.sum(F.log10(F.col("c") + 1.0)).alias("_s"))
-    out = rows.drop("tail").join(tail, "row", "left")
-    more = F.coalesce("_s", F.lit(0.0))
+    def parted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        part = (keys.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for bundle, sym in zip(batch["bundle"], batch["sym"]):
+                keys, _ = asked(_joined(list(sym))[0])
+                order, cuts = parted(keys)
+                packed = [keys[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+                yield pd.DataFrame({"bundle": bundle, "part": np.arange(parts), "keys": packed})
+
+    def answer(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        keys, values = rows["key"].to_numpy(dtype=np.int64), rows["value"].to_numpy(dtype=float)
+        order, out = np.argsort(keys), []
+        keys, values = np.append(keys[order], 0), np.append(values[order], np.nan)
+        for x in asks["keys"]:
+            k = np.frombuffer(x, np.int64)
+            at = np.searchsorted(keys[:-1], k)
+            out.append(np.where(keys[at] == k, values[at], np.nan).tobytes())
+        return pd.DataFrame({"bundle": asks["bundle"], "part": asks["part"], "found": out})
+
+    def judge(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, r in rows.iterrows():
+            s, starts, lengths = _joined(list(r["sym"]))
+            keys, places = asked(s)
+            values = np.empty(len(keys))
+            values[parted(keys)[0]] = np.frombuffer(b"".join(answers.sort_values("part")["found"]), float)
+            logs = log_probs(places, values)
+            logs -= np.where(s[s != 0] == RARE, rare, 0.0)
+            total = np.add.reduceat(logs, np.cumsum(lengths) - lengths) + np.asarray(r["rare"], dtype=float)
+            out.append(pd.DataFrame({x: list(r[x]) for x in own[1:6]} | {"score": total}))
+        return pd.concat(out) if out else pd.DataFrame({x: [] for x in [*own[1:6], "score"]})
+
+    encoded = encode(docs, head, counts, id_col, text_col)
+    kind = "bundle long, sym array<binary>, id array<long>, missing array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, rare array<double>"
+    held = materialize(encoded.mapInPandas(bundles, kind), "lm-bundles")
+    forget(encoded)
+    asks = held.select("bundle", "sym").mapInPandas(ask, "bundle long, part int, keys binary")
+    rows = tree.rows.withColumn("part", F.pmod(F.shiftrightunsigned("key", 20), F.lit(parts)).cast("int"))
+    found = asks.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(answer, "bundle long, part int, found binary")
+    kind = "id long, missing boolean, n_tokens long, n_known long, base double, score double"
+    out = held.groupBy("bundle").cogroup(found.groupBy("bundle")).applyInPandas(judge, kind)
     return out.select(
         F.when(~F.col("missing"), F.col("id")).alias(id_col),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("_k", F.lit(0))).alias("n_known"),
-        (F.col("base") + more - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        "n_known",
+        (F.col("base") - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
+        "score",
     )
 
 

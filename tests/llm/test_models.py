@@ -75,6 +75,51 @@ def test_suffix_tree(spark, head):
     assert pst.score(df.where("doc_id = 9002"), empty, words, counts).head().n_known == 0
 
 
+def test_suffix_tree_at_any_size(spark):
+    """Words and contexts of LEAST are in the tree however many tokens there are; scores as counted one by one."""
+    r = random.Random(7)
+    texts = [" ".join(f"r{i}x{j}" if j % 25 == 0 else f"w{int(40 * r.random() ** 2)}" for j in range(1000)) for i in range(300)]
+    texts += ["zig zag zog"] * 25
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tree, words, counts = pst.fit(df, head=10)
+    own = Counter(w for x in texts for w in pst.tokens(x))
+    assert tree.n == sum(own.values()) > 300_000
+    sym = lambda w: w if own[w] >= 20 or w == pst.END else b"?"
+    mass = Counter({b"?": 1})
+    for w, c in own.items():
+        mass[sym(w)] += c + 1
+    seen = Counter()
+    for x in texts:
+        s = [sym(w) for w in pst.tokens(x)]
+        seen.update(tuple(s[i - d : i + 1]) for i in range(len(s)) for d in range(min(i, pst.DEPTH) + 1))
+    after = {}
+    for g, c in seen.items():
+        after.setdefault(g[:-1], {})[g[-1]] = c
+
+    def kept(ctx):
+        nxt, total, base = after.get(ctx, {}), sum(after.get(ctx, {}).values()), after[ctx[1:]]
+        gain = sum(c * math.log(c / total / (base[w] / sum(base.values()))) for w, c in nxt.items())
+        return total >= 20 and gain >= pst.DIVERGENCE * total and 2 * gain > len(nxt) - 1 + pst.DEVIATIONS * math.sqrt(2 * len(nxt))
+
+    stays = {c for c in after if c and kept(c)}
+    assert set(map(len, stays)) == {1, 2, 3} and len(tree.contexts) == len(stays)
+
+    def p(ctx, w):
+        if not ctx:
+            return mass[w] / (tree.n + tree.v + 1)
+        if ctx not in stays:
+            return p(ctx[1:], w)
+        total = sum(after[ctx].values())
+        return (after[ctx].get(w, 0) + pst.PRIOR * p(ctx[1:], w)) / (total + pst.PRIOR)
+
+    for row in pst.score(df.where("doc_id % 50 = 0 or doc_id = 311"), tree, words, counts).collect():
+        t = pst.tokens(texts[row.doc_id])
+        s = [sym(w) for w in t]
+        want = sum(math.log10(p(tuple(s[max(0, i - pst.DEPTH) : i]), s[i]) * ((own[w] + 1) / mass[b"?"] if s[i] == b"?" else 1)) for i, w in enumerate(t))
+        assert math.isclose(row.score, want, rel_tol=1e-9)
+        assert row.doc_id != 311 or row.score > row.base_score + 6  # words seen 25 times foretell each other
+
+
 def bits(text):
     return simhash.fingerprint(text)
 
