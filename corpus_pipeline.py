@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, langid, mixing, simhash, tokens
+from lodestone.llm import decontaminate, langid, mixing, neardup, tokens
 from lodestone.shared import materialize
 
 #: A document goes if its language is undetermined or its calibrated probability is below this.
@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: that with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group linked by a similarity of 0.8 or more (Jaccard, five words): that with the smallest id."""
+    return neardup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

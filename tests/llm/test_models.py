@@ -271,3 +271,28 @@ def test_pipeline(spark, tmp_path):
     assert 4000 in seen["near_duplicates"] and 4000 not in seen["decontamination"]
     out = cp.run(spark, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in out) == Counter(seen["source_mix"])
+
+
+def test_pipeline_edited_copies(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    r, docs = random.Random(3), []
+    for i in range(60):
+        words = prose("en", 120, 1000 + i).split()
+        docs.append((i, " ".join(words), "en", "s0", 0))
+        for k in range(3):
+            for _ in range(1 + i % 6):
+                words[r.randrange(len(words))] = f"edit{r.random()}"
+            docs.append((100 + 3 * i + k, " ".join(words), "en", "s0", 0))
+    docs += [(900, None, "en", "s0", 0), (901, "", "en", "s0", 0), (902, "a b", "en", "s0", 0), (903, "A  b", "en", "s0", 0), (None, "a b", "en", "s0", 0)]
+    grams = {d[0]: {tuple(w[j : j + 5]) for w in [(d[1] or "").lower().split()] for j in range(max(1, len(w) - 4))} for d in docs}
+    root = {i: i for i in grams}
+    for a in grams:
+        for b in grams:
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) and root[a] != root[b]:
+                old, new = sorted((root[a], root[b]), key=lambda x: (x is None, x))[::-1]
+                root = {k: new if v == old else v for k, v in root.items()}
+    want = set(root.values())
+    assert 60 < len(want) < 200
+    got = [x.doc_id for x in cp.near_duplicates(spark, spark.createDataFrame(docs, DOCS), str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
