@@ -147,8 +147,9 @@ def equal(a: Val, b: Val) -> Column:
     return text(a).eqNullSafe(text(b))
 
 
-def compare(op: str, a: Val, b: Val) -> Column:
-    """False, never null, where one side is null or the types differ; null <= null and null >= null are true."""
+def compare(op: str, a: Val, b: Val, bare: bool = False) -> Column:
+    """False, never null, where one side is null or the types differ; null <= null and null >= null are true.
+    ``bare``: for a filter, to which null is as good as false."""
     a, b = numeric_pair(a, b)
     fa, fb = family(a.type), family(b.type)
     both = F.lit(False)
@@ -167,6 +168,8 @@ def compare(op: str, a: Val, b: Val) -> Column:
         return both
     x, y = text(a), text(b)
     c = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+    if bare and (op in ("<", ">") or any(v.literal and v.value is not None for v in (a, b))):
+        return c
     return F.coalesce(c, F.lit(False)) | both if op in ("<=", ">=") else F.coalesce(c, F.lit(False))
 
 

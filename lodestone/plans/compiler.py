@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lodestone.errors import GraphError
 from lodestone.functions.scalars import (
-    AGGREGATES, ID, IDS, NULL, Val, arithmetic, array, compare, equal, family, literal, scalar, shown,
+    AGGREGATES, ID, IDS, NULL, Val, arithmetic, array, compare, equal, family, is_string, literal, scalar, shown,
 )
 from lodestone.plans import ast as A
 from lodestone.shared import materialize
@@ -183,6 +183,15 @@ class Expressions:
         return scalar(x.name, [self.value(a) for a in x.args], self.safe)
 
     def condition(self, x) -> Column:
+        """Of a filter, where null drops a row as false does: conjuncts stay bare, so that they reach the scan."""
+        if isinstance(x, A.Bin) and x.op == "AND":
+            return self.condition(x.left) & self.condition(x.right)
+        if isinstance(x, A.Bin) and x.op in ("<", "<=", ">", ">="):
+            return compare(x.op, self.value(x.left), self.value(x.right), bare=True)
+        if isinstance(x, A.Call) and x.name.lower() == "startswith" and len(x.args) == 2 and not x.star:
+            a, b = self.value(x.args[0]), self.value(x.args[1])
+            if is_string(a.type) and b.literal and isinstance(b.value, str):
+                return F.startswith(a.col, b.col)
         v = self.value(x)
         return v.col.eqNullSafe(F.lit(True)) if family(v.type) == "bool" else F.lit(False)
 

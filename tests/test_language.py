@@ -183,10 +183,18 @@ def test_pushdown(spark, tmp_path):
     from lodestone.plans.compiler import Compiler
     from lodestone.sources.graph import GraphBuilder
 
-    spark.range(100).selectExpr("id AS k", "id * 2 AS v", "'x' AS unused").write.parquet(str(tmp_path / "t"))
+    spark.range(100).selectExpr("id AS k", "id * 2 AS v", "id / 2 AS d", "string(id) AS t", "'x' AS unused").write.parquet(str(tmp_path / "t"))
     g = GraphBuilder(spark).node_table("T", spark.read.parquet(str(tmp_path / "t")), "k").build()
-    plan = Compiler(g).run(parse("MATCH (t:T) WHERE t.v > 10 RETURN t.v"))._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(v,10)" in plan and "unused" not in plan
+
+    def plan(where):
+        return Compiler(g).run(parse(f"MATCH (t:T) WHERE {where} RETURN t.v"))._jdf.queryExecution().executedPlan().toString()
+
+    assert "GreaterThan(v,10)" in plan("t.v > 10") and "unused" not in plan("t.v > 10")
+    for where, pushed in (("t.d >= 3.5", "GreaterThanOrEqual(d,3.5)"), ("t.v < 7", "LessThan(v,7)"), ("5 <= t.v", "GreaterThanOrEqual(v,5)"),
+                          ("startsWith(t.t, '1')", "StringStartsWith(t,1)"), ("t.v > 2 AND t.d < 40.0 AND t.t = '9'", "LessThan(d,40.0)")):
+        assert pushed in plan(where), plan(where)
+    for where, n in (("t.v > 10", 94), ("NOT t.v > 10", 6), ("t.v > t.d", 99), ("t.v >= null", 0), ("startsWith(t.t, '1') AND t.v >= 20", 10)):
+        assert Compiler(g).run(parse(f"MATCH (t:T) WHERE {where} RETURN t.v")).count() == n, where
 
 
 def test_stored_graph(spark, tmp_path):
