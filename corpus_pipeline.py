@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, langid, mixing, neardup, tokens
-from lodestone.shared import materialize
+from lodestone.shared import forget, materialize
 
 #: A document goes if its language is undetermined or its calibrated probability is below this.
 LEAST_SCORE = 0.3
@@ -23,7 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more (Jaccard, five words): that with the smallest id."""
+    """One document of each group linked by a similarity of 0.8 or more (Jaccard, five words): that with the smallest id.
+    SimHash finds links first; a search on prefixes of the shingle sets finds those it can't."""
     return neardup.one_of_each(docs)
 
 
@@ -55,7 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again; what a stage has read is then deleted.
+
+    Null and empty texts have no language and go at the first stage; equal and near-equal texts leave one row; columns beyond
+    those of documents are carried along, whatever their names; an empty table gives no rows."""
+    docs = written = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        after = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if docs is not written:
+            forget(docs)
+        docs = after
     return docs
