@@ -3,35 +3,34 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lodestone.llm.joins import HEAVY, lookup
 from lodestone.shared import forget, materialize
 
-#: Longest context; least count, at every size, of a word that is a symbol of its own and of a context.
-DEPTH, LEAST = 3, 20
+#: Longest context in words; least count, at every size, of a context and of an entry (a context and a word after it).
+DEPTH, LEAST = 3, 2
 #: A context stays if its divergence from the next shorter one is at least so many nats a token, and above chance
 #: by so many standard deviations of the likelihood-ratio statistic. Weight of the shorter context in smoothing.
-DIVERGENCE, DEVIATIONS, PRIOR = 0.005, 4.0, 10.0
-#: Most frequent words whose counts every worker holds; the others are looked up by a join.
-HEAD = 150_000
-#: Distinct words that a task counts before it passes the counts on.
-FLUSH = 400_000
-#: Places that a task counts or scores at once; rows of the tree in one part; bits (power of 2) of the map that
-#: tells most contexts that can't be frequent. It only saves work: what it lets through is counted exactly.
-PIECE, PART, MAP = 1 << 20, 1 << 20, 26
+DIVERGENCE, DEVIATIONS, PRIOR = 0.005, 4.0, 2.0
+#: Tokens of a bundle of texts, tokens for each part of a table, bytes of a text that are parted at once, rounds in which the
+#: parts of the tree answer.
+BUNDLE, PART, SLICE, ROUNDS = 1 << 19, 1 << 21, 1 << 24, 4
+#: Bits (power of 2) of the maps that tell most keys that are not in a table. They only save work: what they let
+#: through is counted or looked up exactly.
+MAP = 27
 END = b" "  # no word has a space
-#: Symbols for rare words and for the end; LOW takes the later symbol of two packed in a long.
-RARE, LAST, LOW = 1, (1 << 31) - 1, (1 << 32) - 1
-#: Tell the kinds of rows of the tree apart: entries as they are, contexts, symbols.
-CONTEXT, SYMBOL = 0x3C6EF372FE94F82B, 0x1F83D9ABFB41BD6B
+#: Tells the key of a context's weight from that of the same words as an entry.
+CONTEXT = 0x3C6EF372FE94F82B
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -41,414 +40,416 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
-def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(``token``, ``c``) over all rows: counted within tasks, then summed by token."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                found.update(tokens(text))
-                if len(found) >= FLUSH:
-                    yield pd.DataFrame({"token": list(found.keys()), "c": list(found.values())})
-                    found.clear()
-        if found:
-            yield pd.DataFrame({"token": list(found.keys()), "c": list(found.values())})
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "token binary, c long")
-    return counted.groupBy("token").agg(F.sum("c").alias("c"))
+def symbols(text: str | None) -> np.ndarray:
+    """Symbols of the tokens of a text: the 64-bit SipHash of each (never 0). The text is parted a slice at a time."""
+    data, out, at = (text or "").encode("utf-8", "replace").lower(), [], 0
+    while at < len(data):
+        stop = re.compile(rb"[\x20\x09-\x0d]").search(data, at + SLICE) if at + SLICE < len(data) else None
+        part = data[at : stop.start()] if stop else data[at:]
+        at = stop.end() if stop else len(data)
+        out.append(pd.util.hash_array(np.array([*part.split(), b""], dtype=object)[:-1], categorize=False))
+    out = np.concatenate([*out, pd.util.hash_array(np.array([END], dtype=object), categorize=False)])
+    out[out == 0] = 1
+    return out
 
 
-def mix(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """64-bit key of a sequence and the symbol after it."""
-    x = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)) ^ symbol.view(np.uint64)
+def mix(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """64-bit key of a sequence of words from those of the sequence without its last and without its first word."""
+    x = (context * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03)) ^ suffix
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
+    return x ^ (x >> np.uint64(32))
 
 
-def contexts(s: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For 0 to ``depth``: the key of so many symbols before each place of ``s`` (each text after DEPTH zeros), and
-    whether the place is in a text with so many before it."""
-    keys, deep = [np.zeros(len(s), np.int64)], [s != 0]
-    back = lambda x: np.concatenate([np.zeros(1, x.dtype), x[:-1]])
-    for d in range(1, depth + 1):
-        keys.append(mix(back(keys[-1]), back(s)))
-        older = np.concatenate([np.zeros(min(d, len(s)), np.int64), s[: max(0, len(s) - d)]])
-        deep.append(deep[-1] & (older != 0))
-    return keys, deep
+def grams(s: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For 1 to ``order`` words: the key of the words that end at each place of ``s`` (a zero stands before each
+    text), and whether all are of one text."""
+    keys, whole = [s], [s != 0]
+    for _ in range(order - 1):
+        before, there = np.roll(keys[-1], 1), np.roll(whole[-1], 1)
+        there[:1] = False
+        keys.append(mix(before, keys[-1]))
+        whole.append(whole[-1] & there)
+    return keys, whole
 
 
-@dataclass
-class Tree:
-    """Symbols: 0 stands before a text, RARE for all words without a symbol, LAST for the end, other words have
-    31-bit numbers. ``levels``: for each depth the entries (``hi`` the third and second symbol before, ``lo`` the one
-    before and the next, two in a long, zero for none; ``c``, ``total`` of the context, ``p`` smoothed probability,
-    ``kept``); ``symbols`` (``lo`` the symbol, ``p``); ``rows`` (``key``, ``value``): what scores are looked up in, log10 of
-    p by entry, of the weight of the shorter context by retained context, of p by symbol. All are tables."""
+def _planes(x: np.ndarray) -> bytes:
+    """Integers (or floats) with their first, second and so on bytes together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
-    n: int
-    v: int
-    rare: float  # log10 of the mass that rare words share
-    levels: list[DataFrame]
-    symbols: DataFrame
-    rows: DataFrame
-    parts: int
 
-    @cached_property
-    def _local(self) -> tuple:
-        root = {r.lo: r.p for r in self.symbols.collect()}
-        own, entries = {}, {}
-        for level in self.levels:
-            for r in level.where("kept").collect():
-                own[r.hi, r.lo >> 32] = r.total
-                entries[r.hi, r.lo] = r.p
-        return root, [0, RARE, *sorted(s for s in root if s != RARE)], own, entries
-
-    @property
-    def root(self) -> np.ndarray:
-        """For looking into small trees, as ``contexts`` and ``log_probs``; they fetch the whole tree."""
-        root, names, *_ = self._local
-        with np.errstate(divide="ignore"):
-            return np.log10([root.get(x, 0.0) for x in names])
-
-    @property
-    def contexts(self) -> list[tuple]:
-        return list(self._local[2])
-
-    def log_probs(self, state: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """log10 of the smoothed probability of each symbol (its place in ``root``) in its state (place in
-        ``contexts``, -1: none)."""
-        root, names, own, entries = self._local
-        known, out = list(own), []
-        for at, i in zip(state, s):
-            hi, last = known[at] if at >= 0 else (0, 0)
-            weight, symbol = 1.0, names[i]
-            while last and (hi, last << 32 | symbol) not in entries:
-                if (hi, last) in own:
-                    weight *= PRIOR / (own[hi, last] + PRIOR)
-                hi, last = (hi & LOW if hi > LOW else 0, last if hi else 0)
-            out.append(math.log10(weight * (entries[hi, last << 32 | symbol] if last else root.get(symbol, 0.0))))
-        return np.array(out)
-
-
-def _pieces(batches: Iterator[pd.DataFrame], columns: list[str], size: int = 1 << 21) -> Iterator[list[tuple]]:
-    """Rows of all batches in lists of about ``size`` characters (or bytes) of the first column."""
-    rows, held = [], 0
-    for batch in batches:
-        for row in zip(*[batch[c] for c in columns]):
-            rows.append(row)
-            held += len(row[0] or "") + 50
-            if held >= size:
-                yield rows
-                rows, held = [], 0
-    if rows:
-        yield rows
+def _unplane(data: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).ravel()
 
 
-def _joined(own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of some texts, each after DEPTH zeros; the first place and the length of each text."""
-    lengths = np.array([len(x) // 4 for x in own])
-    s = np.frombuffer(b"".join(bytes(DEPTH * 4) + x for x in own), np.int32).astype(np.int64)
-    return s, np.cumsum(lengths + DEPTH) - lengths, lengths
+def _packed(keys: np.ndarray) -> bytes:
+    """Keys in order, as their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
-def encode(docs: DataFrame, head: Broadcast, counts: DataFrame, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``sym`` the symbols of a row as bytes, ``id``, ``missing``, ``n_tokens``, ``n_known``, ``base`` and ``rare`` the sums
-    of log10(count + 1) over all words and over the rare ones). Words of the head are known where the text is
-    read; the others go to a join with the table of counts and come back to the row."""
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_unplane(data, np.uint64), dtype=np.uint64)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (table, symbol, count), row = head.value, TaskContext.get().partitionId() << 33
-        for rows in _pieces(batches, ["text", "id", "missing"]):
-            words = [tokens(r[0]) for r in rows]
-            flat = [w for ws in words for w in ws]
-            at = np.fromiter(map(table.get, flat, [-1] * len(flat)), dtype=np.int64, count=len(flat))
-            lengths = np.array([len(ws) for ws in words])
-            ends = np.cumsum(lengths)
-            starts = ends - lengths
-            s, c = np.where(at < 0, RARE, symbol[at]), np.where(at < 0, 0, count[at])
-            logs, add = np.log10(c + 1.0), lambda x: np.add.reduceat(x, starts)  # noqa: B023
-            unseen = np.flatnonzero(at < 0)
-            tails = [
-                [{"at": int(j - a), "token": flat[j]} for j in unseen[x:y]]
-                for a, x, y in zip(starts, np.searchsorted(unseen, starts), np.searchsorted(unseen, ends))
-            ]
-            yield pd.DataFrame(
-                {"row": row + np.arange(len(rows)), "id": [r[1] for r in rows], "missing": [r[2] for r in rows], "n_tokens": lengths,
-                 "n_known": add((c > 0).astype(np.int64)), "base": add(logs), "rare": add(np.where(s == RARE, logs, 0.0)),
-                 "sym": [s[a:b].astype(np.int32).tobytes() for a, b in zip(starts, ends)], "tail": tails}
-            )
-            row += len(rows)
-
-    key = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
-    source = docs.select(F.col(text_col).alias("text"), F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("missing"))
-    kind = "row long, id long, missing boolean, n_tokens long, n_known long, base double, rare double, sym binary, tail array<struct<at:int,token:binary>>"
-    rows = materialize(source.mapInPandas(read, kind), "lm-read")
-    tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.at", "t.token").join(counts, "token")
-    log, rare = F.log10(F.col("c") + 1.0), F.col("symbol") == RARE
-    tail = tail.groupBy("row").agg(
-        F.count(F.lit(1)).alias("_k"), F.sum(log).alias("_s"), F.sum(F.when(rare, log).otherwise(0.0)).alias("_r"),
-        F.collect_list(F.when(~rare, F.struct("at", "symbol"))).alias("_own"),
-    )
-
-    @F.pandas_udf("binary")
-    def patched(sym: pd.Series, places: pd.Series, symbols: pd.Series) -> pd.Series:
-        out = []
-        for x, at, own in zip(sym, places, symbols):
-            if at is not None and len(at):
-                s = np.frombuffer(x, np.int32).copy()
-                s[np.asarray(at)] = np.asarray(own, dtype=np.int32)
-                x = s.tobytes()
-            out.append(x)
-        return pd.Series(out)
-
-    more = lambda own, add: (F.col(own) + F.coalesce(add, F.lit(0))).alias(own)
-    out = rows.drop("tail").join(tail, "row", "left")
-    out = materialize(
-        out.select("id", "missing", "n_tokens", more("n_known", "_k"), more("base", "_s"), more("rare", "_r"), patched("sym", "_own.at", "_own.symbol").alias("sym")),
-        "lm-symbols",
-    )
-    forget(rows)
-    return out
 
+def _long(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
 
-def row_keys(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, as :func:`contexts` makes them, of the context of each entry and of the entry."""
-    key = np.zeros(len(hi), np.int64)
-    for s in (hi >> 32, hi & LOW, lo >> 32):
-        key = np.where(s > 0, mix(key, s), key)
-    return key, mix(key, lo & LOW)
 
+@dataclass
+class Bits:
+    """A map with a bit for each key of some table by the key's leading ``log`` bits."""
 
-def frequent_map(level: DataFrame) -> np.ndarray:
-    """Bits of the keys of all entries of at least LEAST that can be contexts, by place in a map of bounded size."""
+    log: int
+    words: np.ndarray
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            place = np.unique(row_keys(batch["hi"].to_numpy(), batch["lo"].to_numpy())[1] & ((1 << MAP) - 1))
-            yield pd.DataFrame({"w": place >> 5, "b": 1 << (place & 31)})
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(64 - self.log)
+        return (self.words[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
-    some = level.where((F.col("c") >= LEAST) & (F.col("lo").bitwiseAND(LOW) != LAST)).select("hi", "lo")
-    found = some.mapInPandas(words, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(1 << (MAP - 5), np.uint32)
-    out[found["w"].to_numpy(dtype=np.int64)] = found["b"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return out
+    @staticmethod
+    def run(keys: np.ndarray, log: int, part: int, parts: int) -> bytes:
+        """The bytes of the map for one of ``parts`` equal ranges of keys."""
+        size = 1 << (log - parts)
+        found = np.zeros(size, bool)
+        found[(keys >> np.uint64(64 - log)).astype(np.int64) - part * size] = True
+        return zstandard.ZstdCompressor(level=1).compress(np.packbits(found, bitorder="little").tobytes())
 
+    @staticmethod
+    def of(rows: DataFrame, log: int, parts: int) -> Bits:
+        """The map of the only column of ``rows``, keys as longs."""
+        rows = rows.toDF("key").withColumn("part", F.shiftrightunsigned("key", 64 - parts).cast("int"))
 
-def grow(encoded: DataFrame, depth: int, frequent: np.ndarray | None) -> DataFrame:
-    """(``hi``, ``lo``, ``c``) of all occurrences of contexts of ``depth`` symbols that the map lets through."""
-    shared = encoded.sparkSession.sparkContext.broadcast(frequent)
+        def run(own: pd.DataFrame) -> pd.DataFrame:
+            part = int(own["part"].iloc[0])
+            return pd.DataFrame([{"part": part, "bits": Bits.run(own["key"].to_numpy(dtype=np.int64).view(np.uint64), log, part, parts)}])
+
+        return Bits.gather(rows.repartition(2 << parts, "part").groupBy("part").applyInPandas(run, "part int, bits binary"), log, parts)
+
+    @staticmethod
+    def gather(rows: DataFrame, log: int, parts: int) -> Bits:
+        """The map from rows of (``part``, ``bits``); 2^MAP bits at most."""
+        out = np.zeros(1 << (log - 3), np.uint8)
+        size = 1 << (log - parts - 3)
+        for r in rows.where("bits is not null").select("part", "bits").collect():
+            out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["bits"])), np.uint8)
+        return Bits(log, out)
+
+
+BUNDLES = "bundle long, tokens long, trained long, id binary, missing binary, train binary, length binary, words binary, codes binary"
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
-        for rows in _pieces(batches, ["sym"], PIECE * 4):
-            s, _, _ = _joined([r[0] for r in rows])
-            keys, deep = contexts(s, depth)
-            at = np.flatnonzero(deep[depth])
-            if bits is not None:
-                k = keys[depth][at]
-                at = at[(bits[(k & ((1 << MAP) - 1)) >> 5] >> (k & 31).astype(np.uint32)) & 1 > 0]
-            lo, hi = s[at - 1] << 32 | s[at], np.zeros(len(at), np.int64)
-            for d in range(2, depth + 1):
-                hi |= s[at - d] << (32 * (d - 2))
-            order = np.lexsort((lo, hi))
-            lo, hi = lo[order], hi[order]
-            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(lo)), bool), (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-            out = pd.DataFrame({"hi": hi[first], "lo": lo[first], "c": np.diff(np.append(first, len(lo)))})
-            for i in range(0, len(out), 1 << 17):
-                yield out[i : i + (1 << 17)]
-
-    return encoded.select("sym").mapInPandas(count, "hi long, lo long, c long").groupBy("hi", "lo").agg(F.sum("c").alias("c"))
-
-
-def retained(level: DataFrame, shorter: DataFrame, depth: int) -> DataFrame:
-    """Entries of the contexts of at least LEAST, with ``total``, ``p`` and ``kept``. A context is kept if its
-    next-symbol distribution diverges from that of the context one symbol shorter: the likelihood-ratio
-    statistic 2 * c * KL is above its mean by chance (the number of next symbols less one) by DEVIATIONS of its
-    standard deviations, and KL is at least DIVERGENCE. ``p`` is (c + PRIOR * p in the shorter) / (total + PRIOR)
-    where the context is kept, else that of the shorter one."""
-    last, low = F.shiftright("lo", 32).alias("last"), F.lit(LOW)
-    total = level.groupBy("hi", last).agg(F.sum("c").alias("total")).where(F.col("total") >= LEAST)
-    below = shorter.select(F.col("hi").alias("bh"), F.col("lo").alias("bl"), F.col("c").alias("base_c"), F.col("total").alias("base_total"), F.col("p").alias("base_p"))
-    bl = F.col("lo").bitwiseAND(low) if depth == 1 else F.col("lo")
-    own = level.select("*", last).join(total, ["hi", "last"]).withColumns({"bh": F.col("hi").bitwiseAND(low) if depth > 2 else F.lit(0).cast("long"), "bl": bl})
-    own = materialize(own.join(below, ["bh", "bl"]).drop("bh", "bl"), "lm-own")
-    gain = F.sum(F.col("c") * F.log((F.col("c") / F.col("total")) / (F.col("base_c") / F.col("base_total"))))
-    test = own.groupBy("hi", "last").agg(gain.alias("g"), F.first("total").alias("t"), F.count(F.lit(1)).alias("k"))
-    chance = F.col("k") - 1 + DEVIATIONS * F.sqrt(2.0 * F.col("k"))
-    kept = test.where((F.col("g") >= DIVERGENCE * F.col("t")) & (2 * F.col("g") > chance)).select("hi", "last", F.lit(True).alias("kept"))
-    out = own.join(kept, ["hi", "last"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-    p = F.when(F.col("kept"), (F.col("c") + PRIOR * F.col("base_p")) / (F.col("total") + PRIOR)).otherwise(F.col("base_p"))
-    out = materialize(out.select("hi", "lo", "c", "total", p.alias("p"), "kept"), "lm-level")
-    forget(own)
-    return out
 
+def encode(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts in bundles of about BUNDLE tokens (or one text): ids, which rows are learned from (``train``; default all), lengths, the
+    different words as 64-bit hashes and each token's place among them. Two words of one hash would be taken
+    for one: among 10^9 different words that is to be expected for 0.03 pairs."""
+    key = F.col(id_col).cast("long")
+    source = docs.select(F.col(text_col).alias("text"), F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("missing"), (F.lit(True) if train is None else train).alias("train"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bundle, held, rows, size = TaskContext.get().partitionId() << 33, [], [], 0
+
+        def pack():
+            codes, words = pd.factorize(np.concatenate(held))
+            order = np.argsort(-np.bincount(codes), kind="stable")  # low places for frequent words
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            length = np.array([len(x) for x in held])
+            own = np.array([r[2] for r in rows], bool)
+            return pd.DataFrame([{
+                "bundle": bundle, "tokens": size, "trained": int(length[own].sum()), "id": np.array([r[0] for r in rows], np.int64).tobytes(),
+                "missing": np.array([r[1] for r in rows], bool).tobytes(), "train": own.tobytes(), "length": length.tobytes(),
+                "words": words[order].tobytes(), "codes": _planes(place[codes]),
+            }])
 
-def fit(docs: DataFrame, text_col: str = "text", head: int = HEAD) -> tuple[Tree, Broadcast, DataFrame]:
-    """The tree learned from all rows of ``docs``, the broadcast table of the ``head`` most frequent words (workers
-    keep one copy for all passes), and the counts of all tokens (``token``, ``c``, ``symbol``).
-
-    Words of at least LEAST are symbols (the end is one), all others share the symbol RARE and divide its
-    mass by their counts plus one. Contexts of DEPTH or fewer symbols and at least LEAST are counted over
-    all rows, a depth at a time, and stay if they pass :func:`retained`; both grow with the table. An empty
-    table: a tree that gives every token the same share."""
-    spark = docs.sparkSession
-    plain, end = materialize(count_tokens(docs, text_col), "lm-tokens"), F.col("token") == F.lit(END)
-    named = plain.where((F.col("c") >= LEAST) & ~end)
-    number, step = F.monotonically_increasing_id(), max(1, named.rdd.getNumPartitions())
-    named = named.withColumn("symbol", number.bitwiseAND((1 << 33) - 1) * step + F.shiftright(number, 33) + 2)
-    others = plain.where((F.col("c") < LEAST) | end).withColumn("symbol", F.when(end, F.lit(LAST)).otherwise(F.lit(RARE)).cast("long"))
-    counts = materialize(named.union(others), "lm-counts")
-    forget(plain)
-    got = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).head()
-    n, v = got["n"] or 0, got["v"]
-    octave = F.floor(F.log2("c") * 16).cast("int")  # of a count; few hundred values
-    sizes = sorted(counts.groupBy(octave.alias("o")).count().collect(), reverse=True)
-    least, held = 0, 0
-    for o, k in sizes:
-        held += k
-        if held > head:
-            least = o + 1
-            break
-    top = counts.where((octave >= least) | (F.col("token") == F.lit(END))).toPandas()  # at most ``head`` rows and the end
-    words = {w: i for i, w in enumerate(map(bytes, top["token"]))}
-    own = top["symbol"].to_numpy(dtype=np.int64), top["c"].to_numpy(dtype=np.int64)
-    if END not in words:
-        words[END] = len(words)
-        own = np.append(own[0], LAST), np.append(own[1], 0)
-    table = spark.sparkContext.broadcast((words, *own))
-    del top, words, own
-    whole = n + v + 1.0
-    mass = F.sum("c") + F.count(F.lit(1)) + F.when(F.col("symbol") == RARE, 1).otherwise(0)
-    first = counts.groupBy("symbol").agg(F.sum("c").alias("c"), mass.alias("m"))
-    first = first.union(spark.createDataFrame([(RARE, 0, 1), (LAST, 0, 1)], first.schema).join(first.select("symbol"), "symbol", "left_anti"))
-    first = materialize(first.select(F.lit(0).cast("long").alias("hi"), F.col("symbol").alias("lo"), "c", F.lit(n).cast("long").alias("total"), (F.col("m") / whole).alias("p")), "lm-first")
-    rare = math.log10(first.where(F.col("lo") == RARE).head()["p"] * whole)
-    encoded, shorter, levels, frequent = encode(docs, table, counts, None, text_col), first, [], None
-    for depth in range(1, DEPTH + 1):
-        level = materialize(grow(encoded, depth, frequent), "lm-grown")
-        levels.append(retained(level, shorter, depth))
-        forget(level)
-        shorter = levels[-1]
-        frequent = frequent_map(shorter) if depth < DEPTH else None
-    forget(encoded)
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            context, entry = row_keys(batch["hi"].to_numpy(), batch["lo"].to_numpy())
-            yield pd.DataFrame({"key": np.where(batch["entry"], entry, context ^ CONTEXT), "value": batch["value"]})
-
-    rows = first.select(F.col("lo").bitwiseXOR(F.lit(SYMBOL)).alias("key"), F.log10("p").alias("value"))
-    for level in levels:
-        kept = level.where("kept")
-        whole = kept.groupBy("hi", F.shiftright("lo", 32).alias("last")).agg(F.first("total").alias("t"))
-        whole = whole.select("hi", F.shiftleft("last", 32), F.log10(PRIOR / (F.col("t") + PRIOR)), F.lit(False))
-        both = kept.select("hi", "lo", F.log10("p").alias("value"), F.lit(True).alias("entry")).union(whole)
-        rows = rows.union(both.mapInPandas(keyed, "key long, value double"))
-    rows = materialize(rows, "lm-tree")
-    return Tree(n, v, rare, levels, first, rows, max(1, math.ceil(rows.count() / PART))), table, counts
-
-
-def asked(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that the places of ``s`` look up, each once; and for each place in a text the places among them of its
-    symbol, its DEPTH contexts and its DEPTH entries (-1: before the text)."""
-    keys, deep = contexts(s, DEPTH)
-    at = np.flatnonzero(deep[0])
-    every, there = [s[at] ^ SYMBOL], [deep[0][at]]
-    for d in range(1, DEPTH + 1):
-        every += [keys[d][at] ^ CONTEXT, mix(keys[d][at], s[at])]
-        there += [deep[d][at]] * 2
-    there = np.concatenate(there)
-    places = np.full(len(there), -1)
-    unique, places[there] = np.unique(np.concatenate(every)[there], return_inverse=True)
-    return unique, places.reshape(2 * DEPTH + 1, -1)
-
-
-def log_probs(places: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each place, from what :func:`asked` gives and the values found (nan: none)."""
-    values = np.append(values, np.nan)  # -1
-    out, open_ = np.zeros(places.shape[1]), np.ones(places.shape[1], bool)
-    for d in range(DEPTH, 0, -1):
-        weight, entry = values[places[2 * d - 1]], values[places[2 * d]]
-        kept = open_ & ~np.isnan(weight)
-        found = kept & ~np.isnan(entry)
-        out[found] += entry[found]
-        out[kept & ~found] += weight[kept & ~found]
-        open_ &= ~found
-    out[open_] += values[places[0]][open_]
-    return out
+            for text, *row in zip(batch["text"], batch["id"], batch["missing"], batch["train"]):
+                held.append(symbols(text))
+                rows.append(row)
+                size += len(held[-1])
+                if size >= BUNDLE:
+                    yield pack()
+                    bundle, held, rows, size = bundle + 1, [], [], 0
+        if rows:
+            yield pack()
+
+    return source.mapInPandas(read, BUNDLES)
+
+
+def _opened(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, each token's place among them, lengths of the texts, symbols with a zero before each text, whether
+    each of those is learned from)."""
+    words, codes = np.frombuffer(row["words"], np.uint64), _unplane(row["codes"], np.uint32)
+    length, train = np.frombuffer(row["length"], np.int64), np.frombuffer(row["train"], bool)
+    s = np.zeros(len(codes) + len(length), np.uint64)
+    s[np.arange(len(codes)) + np.repeat(np.arange(1, len(length) + 1), length)] = words[codes]
+    return words, codes, length, s, np.repeat(train, length + 1)
+
+
+def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_dict("records")
 
 
-def score(docs: DataFrame, tree: Tree, head: Broadcast, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, ``n_tokens``, ``n_known``, ``base_score``, ``score``) of each row.
+def count_grams(bundles: DataFrame, order: int, parts: int, log: int, shorter: Bits | None, open_: Bits | None) -> DataFrame:
+    """Sequences of ``order`` words: ``key``, ``context`` and ``suffix`` (their keys without the last and the first
+    word) and ``c`` over all rows learned from, and for each part of the keys a row with its ``bits``.
 
-    Rows are taken in bundles of about PIECE places. A bundle's keys go, each once and packed, to the parts
-    of the tree that hold them by hash; the values come back to the bundle, which then scores its places.
-    Parts grow in number with the tree, not in size."""
-    per_token, parts, rare = math.log10(tree.n + tree.v + 1), tree.parts, tree.rare
-    own = ["sym", "id", "missing", "n_tokens", "n_known", "base", "rare"]
+    Those of one word are all kept; of longer ones those of LEAST, and only sequences whose context and suffix have
+    the bit in ``shorter``, and a context whose own suffix has the bit in ``open_``, are counted at all. A bundle sends each sequence once with its count, packed by
+    ranges of the key, so no sequence is frequent in the shuffle."""
+    shared, shift = bundles.sparkSession.sparkContext.broadcast((shorter, open_)), np.uint64(64 - parts)
 
-    def bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bundle = TaskContext.get().partitionId() << 33
-        for rows in _pieces(batches, own, PIECE * 4):
-            yield pd.DataFrame([[bundle, *map(list, zip(*rows))]], columns=["bundle", *own])
-            bundle += 1
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in _rows(batches):
+            words, codes, length, s, train = _opened(row)
+            if order == 1:
+                c = np.bincount(codes[np.repeat(np.frombuffer(row["train"], bool), length)], minlength=len(words))
+                key, c = words[c > 0], c[c > 0]
+                by = np.argsort(key)
+                key, c = key[by], c[by]
+                context = suffix = key[:0]
+            else:
+                (known, more), (keys, whole) = shared.value, grams(s, order)
+                at = np.flatnonzero(whole[-1] & train)
+                at = at[more.has(keys[-3][at - 1])] if more else at
+                at = at[known.has(keys[-2][at - 1])]
+                at = at[known.has(keys[-2][at])]
+                key = keys[-1][at]
+                by = np.argsort(key)
+                key, at = key[by], at[by]
+                first = np.flatnonzero(np.append(np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
+                c, key, at = np.diff(np.append(first, len(key))), key[first], at[first]
+                context, suffix = keys[-2][at - 1], keys[-2][at]
+            found, cuts = np.unique(key >> shift, return_index=True)
+            out = []
+            for part, a, b in zip(found.astype(np.int64), cuts, [*cuts[1:], len(key)]):
+                by = a + np.argsort(context[a:b]) if order > 1 else slice(a, b)  # equal contexts together compress well
+                data = (key[by] if order == 1 else np.concatenate([context[by], suffix[by]])).tobytes()
+                out.append((part, zstandard.ZstdCompressor(level=1).compress(data), _planes(c[by].astype(np.uint32))))
+            yield pd.DataFrame(out, columns=["part", "keys", "counts"])
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        part, flat = int(rows["part"].iloc[0]), [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint64) for x in rows["keys"]]
+        c = np.concatenate([_unplane(x, np.uint32) for x in rows["counts"]]).astype(np.int64)
+        rows = None
+        if order == 1:
+            key = np.concatenate(flat)
+            context = suffix = key[:0]
+        else:
+            context = np.concatenate([x[: len(x) // 2] for x in flat])
+            suffix = np.concatenate([x[len(x) // 2 :] for x in flat])
+            key = mix(context, suffix)
+        by = np.argsort(key)
+        key = key[by]
+        first = np.flatnonzero(np.append(np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
+        c, key, at = np.add.reduceat(c[by], first), key[first], by[first]
+        frequent = c >= LEAST
+        bits = Bits.run(key[frequent], log, part, parts)
+        if order > 1:
+            c, key, at = c[frequent], key[frequent], at[frequent]
+        near = [_long(x[at]) if order > 1 else 0 for x in (context, suffix)]
+        out = {"key": _long(key), "context": near[0], "suffix": near[1], "c": c, "part": -1, "bits": None}
+        return pd.concat([pd.DataFrame(out), pd.DataFrame([{"key": 0, "context": 0, "suffix": 0, "c": 0, "part": part, "bits": bits}])])
+
+    sent = bundles.mapInPandas(count, "part int, keys binary, counts binary").repartition(2 << parts, "part")
+    return sent.groupBy("part").applyInPandas(merge, "key long, context long, suffix long, c long, part int, bits binary")
+
+
+PACKED = "part int, words binary, words_value binary, grams binary, grams_value binary, bits binary"
 
-    def parted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        part = (keys.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        return order, np.searchsorted(part[order], np.arange(parts + 1))
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for bundle, sym in zip(batch["bundle"], batch["sym"]):
-                keys, _ = asked(_joined(list(sym))[0])
-                order, cuts = parted(keys)
-                packed = [keys[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pd.DataFrame({"bundle": bundle, "part": np.arange(parts), "keys": packed})
-
-    def answer(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        keys, values = rows["key"].to_numpy(dtype=np.int64), rows["value"].to_numpy(dtype=float)
-        order, out = np.argsort(keys), []
-        keys, values = np.append(keys[order], 0), np.append(values[order], np.nan)
-        for x in asks["keys"]:
-            k = np.frombuffer(x, np.int64)
-            at = np.searchsorted(keys[:-1], k)
-            out.append(np.where(keys[at] == k, values[at], np.nan).tobytes())
-        return pd.DataFrame({"bundle": asks["bundle"], "part": asks["part"], "found": out})
+@dataclass
+class Tree:
+    """``n`` tokens, ``v`` different ones. ``packed``: for each of 2^``parts`` ranges of keys the keys in order and
+    their values: of ``words`` the count, of ``grams`` in single precision log10 of an entry's probability or, for a
+    context (key ^ CONTEXT), of the weight of the shorter one. ``bits``: keys of entries and contexts."""
+
+    n: int
+    v: int
+    packed: DataFrame
+    parts: int
+    bits: Bits
+
+
+def retained(level: DataFrame, shorter: DataFrame, counts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Entries of one length (``key``, ``c``, ``total`` of the context, ``p``) and their contexts (``context``, ``total``,
+    ``s``, ``open``) that stay, from what :func:`count_grams` found of one length (``level``) and of a context's length (``counts``), and
+    the entries that are a word shorter.
+
+    After a context, entries are the words seen LEAST times; ``s`` occurrences with other words together are one more outcome. A
+    context stays if the one a word shorter does and its distribution over these diverges from that one's: the
+    likelihood-ratio statistic 2 * total * KL is above its mean by chance (the number of entries) by
+    DEVIATIONS of its standard deviations, and KL is at least DIVERGENCE. There p is
+    (c + (s + PRIOR) * p in the shorter) / (total + PRIOR), and a word that is no entry has (s + PRIOR) /
+    (total + PRIOR) of its share in the shorter. ``open``: longer ones may diverge from it."""
+    heavy = F.col("of") >= n / HEAVY  # counts of one length sum to n at most
+    below = shorter.select(F.col("key").alias("suffix"), F.col("c").alias("of"), (F.col("c") / F.col("total")).alias("q"), F.col("p").alias("base"))
+    own = lookup(level.where("bits is null").select("key", "context", "suffix", "c"), below, "suffix", heavy)
+    own = materialize(own.select("key", "context", "c", "q", "base"), "lm-own")
+    found = own.groupBy("context").agg(F.sum("c").alias("d"), F.sum(F.col("c") * F.log(F.col("c") / F.col("q"))).alias("g"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("k"))
+    found = found.join(counts.select(F.col("key").alias("context"), F.col("c").alias("total")), "context").withColumn("s", F.col("total") - F.col("d"))
+    others = F.when(F.col("s") > 0, F.col("s") * F.log(F.col("s") / F.greatest(1 - F.col("q"), F.lit(1e-9)))).otherwise(0.0)
+    gain = F.col("g") + others - F.col("total") * F.log("total")
+    found = found.where((gain >= DIVERGENCE * F.col("total")) & (2 * gain > F.col("k") + DEVIATIONS * F.sqrt(2.0 * F.col("k"))))
+    found = materialize(found.select("context", "total", "s", ((F.col("k") > 1) | (F.col("s") > 0)).alias("open")), "lm-contexts")
+    out = lookup(own, found.drop("open"), "context", F.col("total") >= n / HEAVY)
+    p = (F.col("c") + (F.col("s") + PRIOR) * F.col("base")) / (F.col("total") + PRIOR)
+    out = materialize(out.select("key", "c", "total", p.alias("p")), "lm-level")
+    forget(own)
+    return out, found
+
+
+def fit(bundles: DataFrame) -> Tree:
+    """The tree learned from the rows of ``bundles`` (see :func:`encode`) that are to be learned from.
+
+    All words are symbols. Contexts of up to DEPTH words and entries after them count from LEAST occurrences on, at every
+    size, and stay if they pass :func:`retained`: the tree grows with the text, from short contexts to longer ones. Where the same word
+    always follows a context, it follows all longer ones too: they can't diverge, and entries of the longest aren't counted there. The shortest state, without a context, gives a word
+    (c + 1) / (n + v + 1). No rows: a tree that knows no word."""
+    n = bundles.agg(F.sum("trained")).head()[0] or 0
+    parts = max(3, math.ceil(math.log2(max(1, n / PART))))
+    log = max(parts + 3, 16, min(MAP, math.ceil(math.log2(max(1, n))) + 1))
+    words = materialize(count_grams(bundles, 1, parts, log, None, None), "lm-words")
+    plain = words.where("bits is null")
+    v = plain.count()
+    shorter = plain.select("key", "c", F.lit(n).cast("long").alias("total"), ((F.col("c") + 1.0) / (n + v + 1.0)).alias("p"))
+    open_, bits, rows, spent = None, Bits.gather(words, log, parts), plain.select("key", F.col("c").cast("double").alias("value"), F.lit(False).alias("gram")), [words]
+    counts = words
+    for order in range(2, DEPTH + 2):
+        level = materialize(count_grams(bundles, order, parts, log, bits, open_), "lm-grams")
+        bits = Bits.gather(level, log, parts)
+        shorter, contexts = retained(level, shorter, counts.where("bits is null"), n)
+        if order > 2:
+            forget(counts)
+        counts = level
+        if order == DEPTH:
+            open_ = Bits.of(contexts.where("open").select("context"), log, parts)
+        weight = F.log10((F.col("s") + PRIOR) / (F.col("total") + PRIOR))
+        context = contexts.select(F.col("context").bitwiseXOR(F.lit(CONTEXT)).alias("key"), weight.alias("value"), F.lit(True).alias("gram"))
+        rows = rows.union(shorter.select("key", F.log10("p").alias("value"), F.lit(True).alias("gram"))).union(context)
+        spent += [shorter, contexts]
+    forget(counts)
+
+    def pack(own: pd.DataFrame) -> pd.DataFrame:
+        part, gram = int(own["part"].iloc[0]), own["gram"].to_numpy(dtype=bool)
+        key, value = own["key"].to_numpy(dtype=np.int64).view(np.uint64), own["value"].to_numpy(dtype=float)
+        out = {"part": part, "bits": Bits.run(key[gram], log, part, parts)}
+        for kind, which, dtype in (("words", ~gram, np.uint64), ("grams", gram, np.float32)):
+            order = np.argsort(key[which])
+            out[kind] = _packed(key[which][order])
+            out[f"{kind}_value"] = _planes(value[which][order].astype(dtype))
+        return pd.DataFrame([out])
+
+    rows = rows.withColumn("part", F.shiftrightunsigned("key", 64 - parts).cast("int"))
+    packed = rows.repartition(2 << parts, "part").groupBy("part").applyInPandas(pack, PACKED)
+    packed = materialize(packed, "lm-packed")
+    forget(*spent)
+    return Tree(n, v, packed, parts, Bits.gather(packed, log, parts))
+
+
+def _asked(words: np.ndarray, s: np.ndarray, bits: Bits, within: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, list]:
+    """The order of the words by key; the keys of contexts and entries that a bundle must look up, in order (only those ``within``
+    a range, if given); for each length from DEPTH down (places with a context that may be known, their places among the keys, the
+    same for entries)."""
+    keys, whole = grams(s, DEPTH + 1)
+    inside = lambda k: slice(None) if within is None else (k >= np.uint64(within[0])) & (k <= np.uint64(within[1]))
+    wanted, at = [], np.flatnonzero(whole[1])
+    for d in range(1, DEPTH + 1):  # a context is in the tree only if all shorter ones are, and an entry only if its context is
+        at = at[whole[d][at]]
+        k = keys[d - 1][at - 1] ^ np.uint64(CONTEXT)
+        may = bits.has(k)
+        at, k = at[may], k[may]
+        entry = at[bits.has(keys[d][at])]
+        own = inside(k), inside(keys[d][entry])
+        wanted = [(at[own[0]], k[own[0]]), (entry[own[1]], keys[d][entry][own[1]]), *wanted]
+    places, unique = pd.factorize(np.concatenate([k for _, k in wanted]))
+    order = np.argsort(unique)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    unique, places = unique[order], rank[places]
+    cuts = np.cumsum([0, *[len(k) for _, k in wanted]])
+    return np.argsort(words), unique, [(at, places[a:b]) for (at, _), a, b in zip(wanted, cuts[:-1], cuts[1:])]
+
+
+def score(bundles: DataFrame, tree: Tree, id_col: str = "doc_id") -> DataFrame:
+    """(``id_col``, ``n_tokens``, ``n_known``, ``base_score``, ``score``) of each row of ``bundles``.
+
+    A bundle's words, and its contexts and entries that may be in the tree, go once each to the ranges of the
+    tree that hold their keys; the values come back to the bundle, which scores its places: the longest
+    context that has an entry for the word gives its probability, times the weights of the longer ones kept.
+    A part of the tree meets what bundles ask of it, packed; parts grow in number with the tree.
+
+    Defined cases: a null or empty text is the end alone; a null id comes back null; repeated rows are scored each; a text beyond
+    BUNDLE tokens is a bundle of its own, in one task; an empty table gives no rows, an empty tree knows no
+    word; other columns are never read."""
+    parts, shift, per_token = tree.parts, np.uint64(64 - tree.parts), math.log10(tree.n + tree.v + 1)
+    shared = bundles.sparkSession.sparkContext.broadcast(tree.bits)
+
+    def asked(turn: int):
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            low, high = (turn << parts) // ROUNDS, ((turn + 1) << parts) // ROUNDS
+            for row in _rows(batches):
+                words, _, _, s, _ = _opened(row)
+                order, unique, *_ = _asked(words, s, shared.value, (low << int(shift), (high << int(shift)) - 1))
+                words, edges = words[order], np.arange(low, high + 1)
+                w, g = np.searchsorted(words >> shift, edges), np.searchsorted(unique >> shift, edges)
+                own = [_packed(words[a:b]) for a, b in zip(w[:-1], w[1:])]
+                yield pd.DataFrame({"bundle": row["bundle"], "part": edges[:-1], "words": own, "grams": [_packed(unique[a:b]) for a, b in zip(g[:-1], g[1:])]})
+
+        return ask
+
+    def answer(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = {"bundle": asks["bundle"], "part": asks["part"]}
+        for kind, dtype, none in (("words", np.uint64, 0), ("grams", np.float32, np.nan)):
+            keys = _unpacked(own[kind].iloc[0]) if len(own) else np.zeros(0, np.uint64)
+            values = np.append(_unplane(own[f"{kind}_value"].iloc[0], dtype) if len(own) else np.zeros(0, dtype), dtype(none))
+            out[kind] = []
+            for data in asks[kind]:
+                k = _unpacked(data)
+                at = np.searchsorted(keys, k)
+                at[np.append(keys, np.uint64(0))[at] != k] = len(keys)
+                out[kind].append(_planes(values[at]))
+        return pd.DataFrame(out)
 
     def judge(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in rows.iterrows():
-            s, starts, lengths = _joined(list(r["sym"]))
-            keys, places = asked(s)
-            values = np.empty(len(keys))
-            values[parted(keys)[0]] = np.frombuffer(b"".join(answers.sort_values("part")["found"]), float)
-            logs = log_probs(places, values)
-            logs -= np.where(s[s != 0] == RARE, rare, 0.0)
-            total = np.add.reduceat(logs, np.cumsum(lengths) - lengths) + np.asarray(r["rare"], dtype=float)
-            out.append(pd.DataFrame({x: list(r[x]) for x in own[1:6]} | {"score": total}))
-        return pd.concat(out) if out else pd.DataFrame({x: [] for x in [*own[1:6], "score"]})
-
-    encoded = encode(docs, head, counts, id_col, text_col)
-    kind = "bundle long, sym array<binary>, id array<long>, missing array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, rare array<double>"
-    held = materialize(encoded.mapInPandas(bundles, kind), "lm-bundles")
-    forget(encoded)
-    asks = held.select("bundle", "sym").mapInPandas(ask, "bundle long, part int, keys binary")
-    rows = tree.rows.withColumn("part", F.pmod(F.shiftrightunsigned("key", 20), F.lit(parts)).cast("int"))
-    found = asks.groupBy("part").cogroup(rows.groupBy("part")).applyInPandas(answer, "bundle long, part int, found binary")
-    kind = "id long, missing boolean, n_tokens long, n_known long, base double, score double"
-    out = held.groupBy("bundle").cogroup(found.groupBy("bundle")).applyInPandas(judge, kind)
-    return out.select(
-        F.when(~F.col("missing"), F.col("id")).alias(id_col),
-        "n_tokens",
-        "n_known",
-        (F.col("base") - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
-        "score",
-    )
+        row, answers = rows.to_dict("records")[0], answers.sort_values("part")
+        words, codes, length, s, _ = _opened(row)
+        order, _, wanted = _asked(words, s, shared.value)
+        c = np.empty(len(words))
+        c[order] = np.concatenate([_unplane(x, np.uint64) for x in answers["words"]])
+        values = np.concatenate([_unplane(x, np.float32) for x in answers["grams"]]).astype(float)
+        base, starts = np.log10(c + 1)[codes], np.cumsum(length) - length
+        out, open_ = np.zeros(len(s)), s != 0
+        floor = np.zeros(len(s))
+        floor[open_] = base - per_token
+        for (at, context), (to, entry) in zip(wanted[::2], wanted[1::2]):
+            found = to[open_[to] & ~np.isnan(values[entry])]
+            out[found] += values[entry][open_[to] & ~np.isnan(values[entry])]
+            open_[found] = False
+            passed = open_[at] & ~np.isnan(values[context])
+            out[at[passed]] += values[context][passed]
+        out[open_] += floor[open_]
+        add = lambda x: np.add.reduceat(x, starts)
+        return pd.DataFrame({
+            "id": np.frombuffer(row["id"], np.int64), "missing": np.frombuffer(row["missing"], bool), "n_tokens": length,
+            "n_known": add((c > 0)[codes].astype(np.int64)), "base_score": add(base) - length * per_token, "score": add(out[s != 0]),
+        })
+
+    packed, found = tree.packed.drop("bits").repartition(2 << parts, "part").groupBy("part"), []
+    for turn in range(ROUNDS):  # the same bundles ask another range of the tree, so that less is in the shuffle at once
+        asks = bundles.select("bundle", "train", "length", "words", "codes").mapInPandas(asked(turn), "bundle long, part int, words binary, grams binary")
+        own = asks.repartition(2 << parts, "part").groupBy("part").cogroup(packed).applyInPandas(answer, "bundle long, part int, words binary, grams binary")
+        found.append(materialize(own, "lm-answers"))
+    found = reduce(DataFrame.union, found)
+    tasks = max(16, min(20_000, bundles.count()))
+    kind = "id long, missing boolean, n_tokens long, n_known long, base_score double, score double"
+    out = bundles.drop("tokens", "trained").repartition(tasks, "bundle").groupBy("bundle")
+    out = out.cogroup(found.repartition(tasks, "bundle").groupBy("bundle")).applyInPandas(judge, kind)
+    return out.select(F.when(~F.col("missing"), F.col("id")).alias(id_col), "n_tokens", "n_known", "base_score", "score")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -458,8 +459,11 @@ def held_out(id_col: str = "doc_id"):
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    tree, head, counts = fit(docs.where(~held_out()))
-    return score(docs, tree, head, counts).select(
+    bundles = materialize(encode(docs, ~held_out()), "lm-bundles")
+    tree = fit(bundles)
+    scores = score(bundles, tree)
+    forget(tree.packed)  # the answers are written
+    return scores.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), "base_score", "score"
     )
 

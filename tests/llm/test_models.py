@@ -10,6 +10,7 @@ import pytest
 
 from lodestone.llm import decontaminate as dc
 from lodestone.llm import embdedup, langid, pst, simhash
+from lodestone.shared import materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SYL = {"en": ["th", "er", "ing", "and", "wh", "ou"], "fr": ["eau", "que", "é", "oi", "ment", "le"]}
@@ -52,72 +53,86 @@ def test_language_parts():
     assert w[1, 0] > 0 > w[3, 0] and not w[2].any()  # L1 leaves a coordinate of no use at zero
 
 
-@pytest.mark.parametrize("head", [40, 100_000])
-def test_suffix_tree(spark, head):
-    rows = corpus() + ODD + [(7000 + i, "a b c d " * 30, "en", "s", 0) for i in range(30)] + corpus(2)
-    df = spark.createDataFrame(rows, DOCS).select("doc_id", "text")
-    train = df.where(~pst.held_out())
-    tree, words, counts = pst.fit(train, head=head)
-    own = Counter(t for i, x, *_ in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for t in pst.tokens(x))
-    assert (tree.n, tree.v) == (sum(own.values()), len(own))
-    got = {}
-    for r in pst.score(df, tree, words, counts).collect():
-        got.setdefault(r.doc_id, r)
-    for i, x, *_ in rows:
-        t = pst.tokens(x)
-        assert (got[i].n_tokens, got[i].n_known) == (len(t), sum(own[w] > 0 for w in t))
-        assert math.isclose(got[i].base_score, sum(math.log10((own[w] + 1) / (tree.n + tree.v + 1)) for w in t), rel_tol=1e-9)
-    assert got[7000].score > got[7000].base_score + 50  # contexts foretell the repeated words
-    size = len(tree.root)
-    for state in range(-1, len(tree.contexts)):
-        assert math.isclose((10 ** tree.log_probs(np.full(size - 1, state), np.arange(1, size))).sum(), 1, rel_tol=1e-9)
-    empty, words, counts = pst.fit(df.limit(0))
-    assert pst.score(df.where("doc_id = 9002"), empty, words, counts).head().n_known == 0
-
-
-def test_suffix_tree_at_any_size(spark):
-    """Words and contexts of LEAST are in the tree however many tokens there are; scores as counted one by one."""
-    r = random.Random(7)
-    texts = [" ".join(f"r{i}x{j}" if j % 25 == 0 else f"w{int(40 * r.random() ** 2)}" for j in range(1000)) for i in range(300)]
-    texts += ["zig zag zog"] * 25
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    tree, words, counts = pst.fit(df, head=10)
-    own = Counter(w for x in texts for w in pst.tokens(x))
-    assert tree.n == sum(own.values()) > 300_000
-    sym = lambda w: w if own[w] >= 20 or w == pst.END else b"?"
-    mass = Counter({b"?": 1})
-    for w, c in own.items():
-        mass[sym(w)] += c + 1
-    seen = Counter()
-    for x in texts:
-        s = [sym(w) for w in pst.tokens(x)]
-        seen.update(tuple(s[i - d : i + 1]) for i in range(len(s)) for d in range(min(i, pst.DEPTH) + 1))
-    after = {}
+def lm_brute(texts, own_rows):
+    """Score of each text by a suffix tree over tuples of words, counted one by one from the rows ``own_rows``."""
+    seen, after = Counter(), {}
+    for i in own_rows:
+        w = pst.tokens(texts[i])
+        seen.update(tuple(w[max(0, j - d) : j + 1]) for j in range(len(w)) for d in range(min(j, pst.DEPTH) + 1))
+    n, v = sum(c for g, c in seen.items() if len(g) == 1), sum(len(g) == 1 for g in seen)
     for g, c in seen.items():
-        after.setdefault(g[:-1], {})[g[-1]] = c
-
-    def kept(ctx):
-        nxt, total, base = after.get(ctx, {}), sum(after.get(ctx, {}).values()), after[ctx[1:]]
-        gain = sum(c * math.log(c / total / (base[w] / sum(base.values()))) for w, c in nxt.items())
-        return total >= 20 and gain >= pst.DIVERGENCE * total and 2 * gain > len(nxt) - 1 + pst.DEVIATIONS * math.sqrt(2 * len(nxt))
-
-    stays = {c for c in after if c and kept(c)}
-    assert set(map(len, stays)) == {1, 2, 3} and len(tree.contexts) == len(stays)
+        if len(g) > 1 and c >= 2:
+            after.setdefault(g[:-1], {})[g[-1]] = c
+    share = lambda g: seen[g] / (seen[g[:-1]] if len(g) > 1 else n)
+    stays = {}
+    for ctx, nxt in sorted(after.items(), key=lambda x: len(x[0])):
+        if len(ctx) > 1 and ctx[1:] not in stays:
+            continue
+        total, s = seen[ctx], seen[ctx] - sum(nxt.values())
+        q = {w: share((*ctx[1:], w)) for w in nxt}
+        gain = sum(c * math.log(c / total / q[w]) for w, c in nxt.items())
+        gain += s * math.log(s / total / max(1 - sum(q.values()), 1e-9)) if s else 0
+        if gain >= pst.DIVERGENCE * total and 2 * gain > len(nxt) + pst.DEVIATIONS * math.sqrt(2 * len(nxt)):
+            stays[ctx] = (total, s)
 
     def p(ctx, w):
         if not ctx:
-            return mass[w] / (tree.n + tree.v + 1)
+            return (seen[(w,)] + 1) / (n + v + 1)
         if ctx not in stays:
             return p(ctx[1:], w)
-        total = sum(after[ctx].values())
-        return (after[ctx].get(w, 0) + pst.PRIOR * p(ctx[1:], w)) / (total + pst.PRIOR)
-
-    for row in pst.score(df.where("doc_id % 50 = 0 or doc_id = 311"), tree, words, counts).collect():
-        t = pst.tokens(texts[row.doc_id])
-        s = [sym(w) for w in t]
-        want = sum(math.log10(p(tuple(s[max(0, i - pst.DEPTH) : i]), s[i]) * ((own[w] + 1) / mass[b"?"] if s[i] == b"?" else 1)) for i, w in enumerate(t))
-        assert math.isclose(row.score, want, rel_tol=1e-9)
-        assert row.doc_id != 311 or row.score > row.base_score + 6  # words seen 25 times foretell each other
+        total, s = stays[ctx]
+        return (after[ctx].get(w, 0) + (s + pst.PRIOR) * p(ctx[1:], w)) / (total + pst.PRIOR)
+
+    out = []
+    for x in texts:
+        w = pst.tokens(x)
+        base = sum(math.log10(p((), t)) for t in w)
+        out.append((len(w), sum(seen[(t,)] > 0 for t in w), base, sum(math.log10(p(tuple(w[max(0, j - pst.DEPTH) : j]), t)) for j, t in enumerate(w))))
+    return n, v, out, stays
+
+
+@pytest.mark.parametrize("bundle", [500, 1 << 20])
+def test_suffix_tree(spark, bundle, monkeypatch):
+    """Every score against a suffix tree counted one by one; null, empty, odd, long and repeated texts."""
+    monkeypatch.setattr(pst, "BUNDLE", bundle)
+    monkeypatch.setattr(pst, "SLICE", 64)
+    r = random.Random(7)
+    rows = corpus() + ODD + [(7000 + i, "a b c d " * 30, "en", "s", 0) for i in range(30)] + corpus(2)
+    rows += [(6000, "once or  \ttwice\u000bthis\x1cwas\u00a0said É é " * 3, "en", "s", 0), (6001, "w" * 300 + " " + "w" * 300, "en", "s", 0)]
+    rows += [(6100 + i, " ".join(f"w{int(40 * r.random() ** 2)}" for _ in range(400)), "en", "s", 0) for i in range(20)]
+    four = ["u k l m", "v k l n", "u o l r", "v o l t"]
+    rows += [(6200 + i, " ".join(r.choice(four) for _ in range(50)), "en", "s", 0) for i in range(20)]
+    df = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "text", "lang AS codes", "source AS words", "n_chars AS train")
+    bundles = materialize(pst.encode(df, ~pst.held_out()))
+    tree = pst.fit(bundles)
+    own = [i for i, x in enumerate(rows) if x[0] is not None and zlib.crc32(str(x[0]).encode()) % 7 != 2]
+    n, v, want, stays = lm_brute([x[1] for x in rows], own)
+    assert (tree.n, tree.v) == (n, v) and set(map(len, stays)) == {1, 2, 3}
+    got = sorted((repr(x.doc_id), x.n_tokens, x.n_known, x.base_score, x.score) for x in pst.score(bundles, tree).collect())
+    assert len(got) == len(rows)
+    for g, w in zip(got, sorted((repr(x[0]), *y) for x, y in zip(rows, want))):
+        assert g[:3] == w[:3] and math.isclose(g[3], w[3], rel_tol=1e-9) and math.isclose(g[4], w[4], rel_tol=1e-6), (g, w)
+    score = {i: (s, b) for i, _, _, b, s in got}
+    assert score["7000"][0] > score["7000"][1] + 50  # contexts foretell the repeated words
+
+
+def test_suffix_tree_of_copies(spark):
+    """What occurs twice is told apart from what occurs once; the tree grows with the text."""
+    r = random.Random(5)
+    once = [" ".join(f"w{r.randrange(3000)}" for _ in range(60)) for _ in range(200)]
+    texts = once + once[:20]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bundles = materialize(pst.encode(df))
+    tree = pst.fit(bundles)
+    gain = {x.doc_id: (x.score - x.base_score) / x.n_tokens for x in pst.score(bundles, tree).collect()}
+    assert min(gain[i] for i in range(20)) > max(gain[i] for i in range(20, 200)) + 0.5
+    half = pst.fit(pst.encode(df.where("doc_id < 110")))
+    keys = lambda t: sum(len(x["grams"]) for x in t.packed.collect())
+    assert keys(half) < keys(tree)
+    empty = pst.fit(pst.encode(df.limit(0)))
+    got = pst.score(pst.encode(df.where("doc_id = 3")), empty).head()
+    assert (empty.n, got.n_known, got.n_tokens) == (0, 0, 61) and got.score == got.base_score == 0
+    assert pst.score(pst.encode(df.limit(0)), tree).count() == 0
 
 
 def bits(text):
