@@ -1,90 +1,177 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, found through prefixes of their sets."""
+"""One of each group of near-duplicates: SimHash links, made whole by a search on prefixes of the shingle sets, all
+verified by the exact Jaccard similarity."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.simhash import SEED
+from lodestone.llm import simhash
+from lodestone.llm.joins import HEAVY, fresh, lookup
+from lodestone.llm.pst import mix, symbols
 from lodestone.operators.components import connected_components
-from lodestone.shared import materialize
+from lodestone.shared import forget, materialize
 
-#: Words of a shingle; buckets (power of 2) whose counts order shingles. The order only saves work.
-WORDS, BUCKETS = 5, 20
+#: Words of a shingle; buckets (power of 2) whose counts order shingles, which only saves work; rounds in which
+#: each shingle's documents meet one of them before all that are left meet each other.
+WORDS, BUCKETS, ROUNDS = 5, 17, 2
+#: Rows up to which a list of row numbers is broadcast; texts that one task holds against one other.
+BROADCAST_ROWS, MEET = 1_000_000, 200
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The different XXH64 of the word shingles, words as in simhash. Fewer words than a shingle has: the whole
+    """The different 64-bit hashes of the word shingles, in order; words as in simhash. Fewer words than a shingle has: the whole
     sequence is the one shingle. No words or null: none."""
-    tokens, digest = (text or "").encode("utf-8", "replace").lower().split(), xxhash.xxh64_intdigest
-    if not tokens:
-        return np.zeros(0, np.int64)
-    grams = {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))}
-    return np.unique(np.array([digest(g, SEED) for g in grams], dtype=np.uint64).view(np.int64))
+    s = symbols(text)[:-1]
+    if not len(s):
+        return s
+    size = min(words, len(s))
+    last = len(s) - size + 1
+    return np.unique(reduce(mix, [s[i : i + last] for i in range(1, size)], s[:last]))
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(``src``, ``dst``) of all pairs of ``sets`` (``node``, ``own`` its shingles) of a similarity of 0.8 or more.
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets without repeats have a Jaccard similarity of 0.8 or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
 
-    Such a pair has ceil(0.8 n) of the n shingles of either in common, so it shares one among the first
-    n - ceil(0.8 n) + 1 of both in any order that all sets share; here shingles of rare buckets come first.
-    Pairs that share one are held against the whole sets: none is missed, none is wrong."""
+
+def sketches(docs: DataFrame, row: str, text_col: str) -> DataFrame:
+    """(``row``, ``digest`` of the shingles, ``n`` of them, ``prefix``) of each row: the first n - ceil(0.8 n) + 1
+    shingles, those of rare buckets first."""
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = np.zeros(1 << BUCKETS, np.int64)
         for batch in batches:
-            for own in batch["own"]:
-                np.add.at(found, np.asarray(own, dtype=np.int64) & ((1 << BUCKETS) - 1), 1)
+            for text in batch["text"]:
+                found += np.bincount((shingles(text) >> np.uint64(64 - BUCKETS)).astype(np.int64), minlength=1 << BUCKETS)
         at = np.flatnonzero(found)
         yield pd.DataFrame({"b": at, "c": found[at]})
 
-    counted = sets.select("own").mapInPandas(tally, "b long, c long").groupBy("b").agg(F.sum("c").alias("c")).toPandas()
+    texts = docs.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+    counted = texts.select("text").mapInPandas(tally, "b long, c long").groupBy("b").agg(F.sum("c").alias("c")).toPandas()
     counts = np.zeros(1 << BUCKETS, np.int64)
     counts[counted["b"].to_numpy(dtype=np.int64)] = counted["c"].to_numpy(dtype=np.int64)
-    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                own = shingles(text)
+                order = np.lexsort((own, shared.value[(own >> np.uint64(64 - BUCKETS)).astype(np.int64)]))
+                first = own[order[: len(own) - (4 * len(own) + 4) // 5 + 1]].view(np.int64)
+                out.append((hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), first))
+            yield pd.DataFrame({"row": batch["row"], "digest": [x[0] for x in out], "n": [x[1] for x in out], "prefix": [x[2] for x in out]})
+
+    return texts.mapInPandas(sketch, "row long, digest binary, n long, prefix array<long>")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``pairs`` (``a``, ``b``) of rows of ``texts`` (``row``, ``text``) that are alike.
+
+    Shingle sets are made for the rows in question only. Up to MEET rows meet one ``b`` in a task; a ``b`` with more
+    goes to more tasks."""
+    pairs = materialize(pairs, "near-pairs")
+    rows = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    rows = materialize(rows, "near-asked")
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for node, own in zip(batch["node"], batch["own"]):
-                own = np.asarray(own, dtype=np.int64)
-                order = np.lexsort((own, shared.value[own & ((1 << BUCKETS) - 1)]))
-                first = own[order[: len(own) - (4 * len(own) + 4) // 5 + 1]]
-                if len(first):
-                    yield pd.DataFrame({"shingle": first, "node": node, "n": len(own)})
-
-    posted = materialize(sets.mapInPandas(prefixes, "shingle long, node long, n long"), "near-prefixes")
-    a, b = (posted.select("shingle", F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in ("src", "dst"))
-    alike = (5 * F.col("n_src") >= 4 * F.col("n_dst")) & (5 * F.col("n_dst") >= 4 * F.col("n_src"))
-    pairs = a.join(b, "shingle").where((F.col("src") < F.col("dst")) & alike).select("src", "dst", "n_src", "n_dst").distinct()
-    pairs = pairs.join(sets.select(F.col("node").alias("src"), F.col("own").alias("x")), "src")
-    pairs = pairs.join(sets.select(F.col("node").alias("dst"), F.col("own").alias("y")), "dst")
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.where(5 * both >= 4 * (F.col("n_src") + F.col("n_dst") - both)).select("src", "dst")
+            yield pd.DataFrame({"row": batch["row"], "own": [shingles(t).tobytes() for t in batch["text"]]})
+
+    sets = materialize(texts.join(rows, "row", "left_semi").mapInPandas(read, "row long, own binary"), "near-sets")
+    degree = materialize(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("many")), "near-degree")
+    total = degree.agg(F.sum("many")).head()[0] or 0
+    salt = F.pmod(F.xxhash64("a"), F.ceil(F.col("many") / MEET)).alias("salt")
+    bucket = F.pmod(F.xxhash64("b", "salt"), F.lit(max(1, total // (2 * MEET)))).alias("bucket")
+    dealt = lookup(pairs, degree, "b", F.col("many") >= total / HEAVY).select("a", "b", salt)
+    dealt = materialize(dealt.select("a", "b", "salt", bucket), "near-dealt")
+    left = dealt.select("a", "b", "bucket").join(sets.withColumnsRenamed({"row": "a", "own": "own_a"}), "a").groupBy("bucket")
+    once = dealt.select(F.col("b").alias("to"), F.col("bucket").alias("share")).distinct()
+    right = once.join(sets.withColumnsRenamed({"row": "to", "own": "own_b"}), "to").groupBy("share")
+
+    def meet(many: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
+        own = {b: np.frombuffer(x, np.uint64) for b, x in zip(one["to"], one["own_b"])}
+        near = [alike(own[b], np.frombuffer(x, np.uint64)) for b, x in zip(many["b"], many["own_a"])]
+        return many.loc[near, ["a", "b"]]
+
+    out = materialize(left.cogroup(right).applyInPandas(meet, "a long, b long"), "near-links")
+    forget(pairs, sets, degree, dealt)
+    return out
+
+
+def links(texts: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
+    """(``a``, ``b``): links enough to join all ``classes`` (``row``, ``n``, ``prefix``) whose similarity is 0.8 or more, and no others.
+
+    First, rows whose SimHash ``prints`` (``row``, ``fp``) are within 3 bits. Then the search that makes it whole: a pair has ceil(0.8 n)
+    of the n shingles of either in common, so it shares one among the first n - ceil(0.8 n) + 1 of both, in any order that all
+    sets share. Twice, all rows of a prefix shingle that aren't joined yet meet a drawn one of them, so that a group of m copies
+    costs about m meetings; then all that share a prefix shingle and are still not joined meet. None is missed, none is wrong."""
+    first = materialize(prints.groupBy("fp").agg(F.min("row").alias("least")), "near-prints")
+    near = simhash.link_fingerprints(first.select("fp"))
+    near = near.join(first.toDF("src", "a"), "src").join(first.toDF("dst", "b"), "dst").select("a", "b")
+    same = prints.join(first, "fp").where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))
+    found = [verified(near.union(same), texts)]
+    posted = materialize(classes.select(F.explode("prefix").alias("shingle"), "row", "n"), "near-prefixes")
+    often = materialize(posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "near-often")
+    total = posted.count()
+    kept = materialize(lookup(posted, often, "shingle", F.col("many") >= total / HEAVY), "near-shared")
+    forget(posted, first)
+    sizes = (5 * F.col("n") >= 4 * F.col("m")) & (5 * F.col("m") >= 4 * F.col("n"))
+    for turn in range(ROUNDS + 1):
+        parts = connected_components(reduce(DataFrame.union, found).toDF("src", "dst"))
+        now = kept.join(parts.toDF("row", "part"), "row", "left").withColumn("part", F.coalesce("part", "row"))
+        drawn = F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), F.col("row").alias("b"), F.col("n").alias("m"), F.col("part").alias("other")))
+        mixed = now.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y"), drawn.alias("d")).where("x < y")
+        mixed = materialize(mixed.select("shingle", "d.b", "d.m", "d.other"), "near-mixed")
+        if turn < ROUNDS:
+            heavy = materialize(mixed.join(often, "shingle"), "near-mixed")
+            pairs = lookup(now.drop("many"), heavy, "shingle", F.col("many") >= total / HEAVY).where((F.col("part") != F.col("other")) & sizes)
+            pairs = pairs.select(F.col("row").alias("a"), "b").distinct()
+        else:
+            now = materialize(now.join(mixed.select("shingle"), "shingle", "left_semi").select("shingle", "row", "n", "part"), "near-open")
+            pairs = now.withColumnRenamed("row", "a").join(now.toDF("shingle", "b", "m", "other"), "shingle")
+            pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("part") != F.col("other")) & sizes).select("a", "b").distinct()
+        found.append(verified(pairs, texts))
+    return reduce(DataFrame.union, found)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of linked rows: that of the smallest id (nulls last; one of its
-    repeated rows). Rows with the same shingles, or none, are one class from the start."""
-
-    @F.pandas_udf("array<long>")
-    def own(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t) for t in texts])
-
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "near-docs")
-    rows = keyed.select(id_col, "_row", own(text_col).alias("own"))
-    rows = materialize(rows.withColumn("digest", F.sha2(F.array_join("own", ","), 256)), "near-rows")
-    named = rows.groupBy("digest").agg(F.min("_row").alias("node"))
-    named = materialize(named, "near-classes")
-    sets = materialize(rows.join(named.select(F.col("node").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("node"), "own"), "near-sets")
-    parts = connected_components(links(sets)).select("node", F.col("component").alias("part"))
-    parts = named.join(parts, "node", "left").select("digest", F.coalesce("part", "node").alias("part"))
-    rows = materialize(rows.select(id_col, "_row", "digest").join(parts, "digest").select(id_col, "_row", "part"), "near-parts")
-    first = rows.groupBy("part").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_row").alias("r"))).alias("_first"))
-    goes = materialize(rows.select("_row").join(first.select(F.col("_first.r").alias("_row")), "_row", "left_anti"), "near-goes")
-    if goes.count() <= 200_000:
-        goes = F.broadcast(goes)
-    return keyed.join(goes, "_row", "left_anti").drop("_row")
+    repeated rows). Rows with the same shingles, or none, are one class from the start.
+
+    Defined cases: null texts and those without words are alike; texts of fewer than five words are alike if their words are the
+    same; repeated rows leave one; very long texts count with all their shingles; an empty table stays empty; the columns
+    stay as they are, whatever their names."""
+    row = fresh(docs, "_row")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
+    texts = keyed.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
+    sketched = materialize(sketches(keyed, row, text_col), "near-rows")
+    named = materialize(sketched.groupBy("digest").agg(F.min("row").alias("row")), "near-classes")
+    own = named.select("row")
+    classes = sketched.where("n > 0").join(own, "row", "left_semi").select("row", "n", "prefix")
+    prints = materialize(simhash.fingerprints(texts, "row", "text", WORDS).join(classes.select("row"), "row", "left_semi"), "near-fingerprints")
+    parts = connected_components(links(texts, classes, prints).toDF("src", "dst"))
+    parts = named.join(parts.toDF("row", "part"), "row", "left").select("digest", F.coalesce("part", "row").alias("part"))
+    ids = keyed.select(F.col(row).alias("row"), F.col(id_col).alias("id"))
+    rows = materialize(lookup_digest(sketched.select("row", "digest"), parts).join(ids, "row"), "near-parts")
+    first = rows.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("row").alias("r"))).alias("f"))
+    goes = materialize(rows.select("row").join(first.select(F.col("f.r").alias("row")), "row", "left_anti").select(F.col("row").alias(row)), "near-goes")
+    forget(sketched, named, prints, rows)
+    return keyed.join(F.broadcast(goes) if goes.count() <= BROADCAST_ROWS else goes, row, "left_anti").drop(row)
+
+
+def lookup_digest(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(``row``, ``part``) of all ``rows``; a digest that many rows have is no hot key."""
+    many = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("many"))
+    known = materialize(parts.join(many, "digest"), "near-known")
+    total = known.agg(F.sum("many")).head()[0] or 0
+    return lookup(rows, known, "digest", F.col("many") >= total / HEAVY).select("row", "part")
