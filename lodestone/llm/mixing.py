@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from lodestone.llm.joins import fresh
 from lodestone.llm.ranking import WORD, ranked, seeded, stratum
 from lodestone.shared import materialize
 
@@ -104,13 +105,17 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(seeded(id_col, seed).alias("k"), F.col(id_col).alias("i"), F.col("size").alias("s"))
     cuts = times.groupBy("_stratum").agg(F.max("_whole").alias("_whole"), F.max(F.when(more, place)).alias("_cut"))
     cuts = materialize(cuts, "mix-cuts")
-    if cuts.count() <= 200_000:
+    few = cuts.count() <= 200_000
+    own, place, times = fresh(docs, "_stratum"), fresh(docs, "_place"), fresh(docs, "_times")
+    whole, cut = fresh(docs, "_whole"), fresh(docs, "_cut")
+    cuts = cuts.select(F.col("_stratum").alias(own), F.col("_whole").alias(whole), F.col("_cut").alias(cut))
+    if few:
         cuts = F.broadcast(cuts)
-    out = docs.withColumns({"_stratum": stratum(source_col), "_place": order(seeded(id_col, seed))}).join(cuts, "_stratum")
-    extra = F.coalesce(F.col("_place") <= F.col("_cut"), F.lit(False)).cast("int")
-    repeats = F.when(F.col("_place.s") > 0, F.col("_whole").cast("int") + extra).otherwise(0)
-    out = out.withColumn("_times", repeats).where("_times > 0")
-    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    out = docs.withColumns({own: stratum(source_col), place: order(seeded(id_col, seed))}).join(cuts, own)
+    extra = F.coalesce(F.col(place) <= F.col(cut), F.lit(False)).cast("int")
+    repeats = F.when(F.col(place).s > 0, F.col(whole).cast("int") + extra).otherwise(0)
+    out = out.withColumn(times, repeats).where(F.col(times) > 0)
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def _words(text_col: str):

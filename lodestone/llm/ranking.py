@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodestone.shared import materialize
+
+#: Rows of a bucket in an order, and buckets at most.
+EACH, MOST = 50_000, 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -20,20 +22,21 @@ def stratum(source: str) -> Column:
     return F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
 
 
-def digits_for(rows: int, each: int = 500, most: int = 5) -> int:
-    """Hex digits of the shuffle key that cut a group of all rows into buckets of about ``each``."""
-    return min(most, max(1, math.ceil(math.log(max(1, rows / each), 16))))
+def dealt(df: DataFrame, order: list[str], rows: int) -> DataFrame:
+    """``df`` written in buckets that follow each other in ``order``, the bucket in ``_bucket``. All of ``order`` tells buckets
+    apart: neither a hot group nor many rows with one key stay together, only rows equal in all of it."""
+    buckets = max(1, min(MOST, -(-rows // EACH)))
+    return materialize(df.repartitionByRange(buckets, *order).withColumn("_bucket", F.spark_partition_id()), "ranked")
 
 
 def ranked(df: DataFrame, group: str, key: str, ties: list[str], rows: int, size: str | None = None) -> DataFrame:
     """Add ``rank`` (from 1) and, given ``size``, ``before`` (sizes of those ahead) in the order of
-    ``key``, ``ties`` within each ``group``; ``key`` must be a string of hex digits.
+    ``key``, ``ties`` within each ``group``.
 
-    Leading digits of the key cut a group into ordered buckets; a count per (group, bucket), combined
+    Rows are dealt into buckets by ranges of (group, key, ties); a count per (group, bucket), combined
     before its shuffle, gives each bucket's offset, and rows are ordered within their bucket only. So a
-    group with most of all rows spreads over as many tasks as it has buckets. ``df`` is read twice.
-    """
-    df = df.withColumn("_bucket", F.substring(key, 1, digits_for(rows)))
+    group with most of all rows spreads over as many tasks as it has buckets, and so do rows with one key."""
+    df = dealt(df, [group, key, *ties], rows)
     sums = [F.count(F.lit(1)).alias("_n")] + ([F.sum(size).alias("_s")] if size else [])
     ahead = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = df.groupBy(group, "_bucket").agg(*sums)

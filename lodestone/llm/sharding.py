@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lodestone.llm.ranking import ranked, seeded, stratum
+from lodestone.llm.ranking import dealt, ranked, seeded, stratum
 from lodestone.shared import materialize
 
 SHARDS, SEED = 16, 20240229
@@ -26,7 +26,7 @@ def interleave_shards(
     from 0 without gaps within a shard.
 
     Both orders are found from counts per bucket (see :func:`ranked`), so neither a hot source nor the
-    whole sequence passes through one task. Defined cases: a null source is a stratum of its own; a null
+    whole sequence passes through one task, nor do many sources of one row, which all have the rank 1/2. Defined cases: a null source is a stratum of its own; a null
     id is shuffled as an empty string; repeated rows each get a slot, and rows equal in all kept columns
     may swap places; a source of one row gets rank 1/2; with fewer rows than shards some shards are
     empty; an empty table gives no rows. Other columns are ignored, whatever their names.
@@ -43,13 +43,12 @@ def interleave_shards(
     total = narrow.groupBy("stratum").agg(F.count(F.lit(1)).alias("_of"))
     mixed = ranked(narrow, "stratum", "_key", ties, rows).join(total, "stratum")
     mixed = mixed.withColumn("_f", (F.col("rank") - F.lit(0.5)) / F.col("_of"))
-    cells = max(1, min(16384, rows // 500))
-    mixed = materialize(mixed.withColumn("_cell", F.floor(F.col("_f") * cells).cast("int")), "shard-order")
-    ahead = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = mixed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))  # at most 16,384 rows
-    offsets = offsets.select("_cell", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_n0"))
-    within = Window.partitionBy("_cell").orderBy("_f", "stratum", "_key", *ties)
-    out = mixed.withColumn("_at", F.row_number().over(within)).join(offsets, "_cell")
+    order = ["_f", "stratum", "_key", *ties]
+    mixed = dealt(mixed, order, rows)
+    ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = mixed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # a row for each bucket
+    offsets = offsets.select("_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_n0"))
+    out = mixed.withColumn("_at", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))).join(offsets, "_bucket")
     position = F.col("_n0") + F.col("_at") - 1
     shard = F.expr(f"position * {shards} div {rows}")
     return (
