@@ -108,8 +108,35 @@ class Index:
                 now[i] = int(places[at[i]]) if at[i] < len(places) else end
 
 
-def build_index(items: list[tuple[int, str]]) -> Index:
-    """Index of (id, text); items without words are left out. Items of like vocabulary (same commonest
+@dataclass
+class Statistics:
+    """Of all items with words: how many, their mean length, and how many have each term."""
+
+    n: int
+    mean: float
+    df: dict[str, int]
+
+
+def statistics(texts: list[str]) -> Statistics:
+    bags = [b for b in (Counter(w for part in split_item(t) for w in part) for t in texts) if b]
+    return Statistics(len(bags), sum(sum(b.values()) for b in bags) / max(1, len(bags)), Counter(t for b in bags for t in b))
+
+
+def all_statistics(texts: DataFrame) -> Statistics:
+    """:func:`statistics` of the only column of ``texts``; the driver holds the vocabulary of the items."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = statistics([*batch["text"]])
+            yield pd.DataFrame([(None, own.n, round(own.n * own.mean)), *((t, c, 0) for t, c in own.df.items())], columns=["term", "c", "length"])
+
+    found = texts.toDF("text").mapInPandas(count, "term string, c long, length long").groupBy("term").agg(F.sum("c").alias("c"), F.sum("length").alias("length")).collect()
+    n, length = next(((r["c"], r["length"]) for r in found if r["term"] is None), (0, 0))
+    return Statistics(n, length / max(1, n), {r["term"]: r["c"] for r in found if r["term"] is not None})
+
+
+def build_index(items: list[tuple[int, str]], whole: Statistics | None = None) -> Index:
+    """Index of (id, text), scored by the statistics of ``whole`` (of the items themselves if not given); items without words are left out. Items of like vocabulary (same commonest
     term) lie together, which keeps the blocks' highest impacts low."""
     index, bags = Index(), []
     for item, text in items:
@@ -118,10 +145,10 @@ def build_index(items: list[tuple[int, str]]) -> Index:
             bags.append((item, question, answer, Counter(question + answer)))
     if not bags:
         return index
-    df: Counter = Counter(t for b in bags for t in b[3])
+    whole = whole or statistics([text for _, text in items])
+    df, n, mean = whole.df, whole.n, whole.mean
     bags.sort(key=lambda b: (max(b[3], key=lambda t: (df[t], t)), b[0] is None, b[0] or 0))
-    n, mean = len(bags), sum(sum(b[3].values()) for b in bags) / len(bags)
-    idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+    idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for b in bags for t in b[3]}
     lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
     for place, (item, question, answer, bag) in enumerate(bags):
         length = sum(bag.values())
@@ -207,12 +234,14 @@ def find_items(index: Index, text: str | None, spell: _Spellings) -> list[tuple[
 
 
 def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """Indexes of at most INDEX_BYTES of text each (or one item), made one after the other."""
+    """Indexes of about INDEX_BYTES of text each (or one item), made one after the other. Scores don't depend on the cut: they
+    take the statistics of all items."""
     rows = items.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col), F.octet_length(text_col).alias("n"))
     size = rows.agg(F.sum("n")).head()[0] or 0
     shards = max(1, math.ceil(size / INDEX_BYTES))
+    whole = all_statistics(rows.select(text_col))
     for k in range(shards):
-        yield build_index([(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64(id_col), F.lit(shards)) == k).collect()])
+        yield build_index([(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(shards)) == k).collect()], whole)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: list[str] | None = None) -> DataFrame:
