@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone.llm.joins import fresh
+
 #: Hash buckets of n-grams, their lengths, characters handled at once.
 BUCKETS, LENGTHS, PIECE = 1 << 16, (1, 2, 3), 1 << 18
 #: Labelled documents of each language that the model is trained on, in expectation (the bound on the
@@ -187,8 +189,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
     def judge(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
 
-    out = docs.withColumn("_judged", judge(F.col(text_col)))
-    return out.select(*docs.columns, F.col("_judged.lang").alias(lang_col), F.col("_judged.score").alias(score_col))
+    judged = fresh(docs, "_judged")
+    out = docs.withColumn(judged, judge(F.col(text_col)))
+    return out.select(*docs.columns, F.col(judged).lang.alias(lang_col), F.col(judged).score.alias(score_col))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -114,7 +114,8 @@ def links(texts: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
     First, rows whose SimHash ``prints`` (``row``, ``fp``) are within 3 bits. Then the search that makes it whole: a pair has ceil(0.8 n)
     of the n shingles of either in common, so it shares one among the first n - ceil(0.8 n) + 1 of both, in any order that all
     sets share. Twice, all rows of a prefix shingle that aren't joined yet meet a drawn one of them, so that a group of m copies
-    costs about m meetings; then all that share a prefix shingle and are still not joined meet. None is missed, none is wrong."""
+    costs about m meetings; then all that share prefix shingles, enough of them for a similarity of 0.8, and are still not joined
+    meet. None is missed, none is wrong."""
     first = materialize(prints.groupBy("fp").agg(F.min("row").alias("least")), "near-prints")
     near = simhash.link_fingerprints(first.select("fp"))
     near = near.join(first.toDF("src", "a"), "src").join(first.toDF("dst", "b"), "dst").select("a", "b")
@@ -139,7 +140,11 @@ def links(texts: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
         else:
             now = materialize(now.join(mixed.select("shingle"), "shingle", "left_semi").select("shingle", "row", "n", "part"), "near-open")
             pairs = now.withColumnRenamed("row", "a").join(now.toDF("shingle", "b", "m", "other"), "shingle")
-            pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("part") != F.col("other")) & sizes).select("a", "b").distinct()
+            pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("part") != F.col("other")) & sizes)
+            pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
+            # of the row whose prefix ends first in the order, what is in common beyond its prefix is at most the rest of its shingles
+            rest = F.ceil(0.8 * F.greatest("n", "m"))
+            pairs = pairs.where(9 * (F.col("shared") + rest) >= 4 * (F.col("n") + F.col("m"))).select("a", "b")
         found.append(verified(pairs, texts))
     return reduce(DataFrame.union, found)
 

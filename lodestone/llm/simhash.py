@@ -11,6 +11,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone.llm.joins import fresh
 from lodestone.operators.components import connected_components
 from lodestone.shared import materialize
 
@@ -251,14 +252,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The columns of ``docs`` stay as they are. Rows are numbered in a written copy, and the numbers of the
     rows that go are taken out by an anti-join (broadcast up to 200,000 of them)."""
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-docs")
-    rows = materialize(simhash_components(keyed, id_col, text_col, words, radius, ("_row",)).select(id_col, "_row", "part"), "simhash-rows")
-    first = rows.groupBy("part").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_row").alias("r"))).alias("_first"))
-    stays = first.select(F.col("_first.r").alias("_row"))
-    goes = materialize(rows.select("_row").join(stays, "_row", "left_anti"), "simhash-goes")
+    row = fresh(docs, "_row")
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
+    rows = materialize(simhash_components(keyed, id_col, text_col, words, radius, (row,)).select(F.col(id_col).alias("i"), F.col(row).alias("r"), "part"), "simhash-rows")
+    first = rows.groupBy("part").agg(F.min(F.struct(F.col("i").isNull().alias("n"), "i", "r")).alias("f"))
+    stays = first.select(F.col("f.r").alias("r"))
+    goes = materialize(rows.select("r").join(stays, "r", "left_anti").select(F.col("r").alias(row)), "simhash-goes")
     if goes.count() <= 200_000:
         goes = F.broadcast(goes)
-    return keyed.join(goes, "_row", "left_anti").drop("_row")
+    return keyed.join(goes, row, "left_anti").drop(row)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
