@@ -4,144 +4,239 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import FloatType
 
 from lodestone.llm.simhash import Forest
 from lodestone.operators.components import connected_components
-from lodestone.shared import materialize
+from lodestone.shared import forget, materialize
 
 THRESHOLD = 0.9
-#: Projections in all and in the first round; steps of a projection in a window's half; the chance that a
-#: pair right at the threshold is lost in either round, at most; rows of a block.
-PROJECTIONS, FIRST, STEPS, LOSS, BLOCK, SEED = 64, 32, 4, 1e-4, 8192, 97
+#: Random directions; where the windows of a sorted projection begin, in deviations from its middle; half a window, in
+#: deviations of the difference of a pair right at the threshold; the chance that such a pair is lost, at most.
+DIRECTIONS, START, REACH, LOSS, SEED = 12_000, 3.0, 2.0, 1e-4, 97
+#: Steps of a deviation in which projections are kept; rows of a task; members of a window that are counted as one matrix.
+STEPS, ROWS, DENSE, TILE = 256, 200_000, 512, 1024
 
 
-def _tail(n: int, p: float, k: int) -> float:
+def _normal(z: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2)))
+
+
+def _below(n: int, p: float, k: int) -> float:
     """P(X < k) for a binomial X."""
     return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
 
 
-def calibrate(threshold: float = THRESHOLD) -> tuple[float, int, int]:
-    """(step of a projection, least collisions in the first round, least collisions in all).
+def reach(threshold: float = THRESHOLD) -> float:
+    """Half a window, in deviations of a projection."""
+    return REACH * math.sqrt(2 - 2 * threshold)
+
 
-    Directions are standard normal, so the projections of two unit vectors of cosine t differ by a normal
-    variable of deviation sqrt(2 - 2t). A window reaches one such deviation to either side: STEPS steps
-    of a quantized projection. The chance of a collision at the threshold follows by summing over the
-    quantization, and the counts are the largest that lose a pair at the threshold with a chance of
-    LOSS at most; pairs closer together collide more."""
-    step = math.sqrt(2 - 2 * threshold) / STEPS
-    x = (np.arange(2001) / 1000 - 1) * (STEPS + 1)  # difference in steps
-    density = np.exp(-0.5 * (x / STEPS) ** 2) / (STEPS * math.sqrt(2 * math.pi))
-    # two quantized values differ by at most STEPS with this chance, given the difference x
-    inside = np.clip(STEPS + 1 - np.abs(x), 0, 1)
-    p = float(np.sum(density * inside) * (x[1] - x[0])) - 1e-3
-    count = lambda n: max(k for k in range(n + 1) if _tail(n, p, k) <= LOSS)
-    return step, count(FIRST), count(PROJECTIONS)
+def calibrate(threshold: float = THRESHOLD) -> int:
+    """Least collisions of a pair.
 
+    Directions are standard normal and independent, so the projections of two unit vectors of cosine t are
+    normal with the correlation t. They collide on a direction if both lie beyond START at the same end and
+    within the window around the other; the chance follows by integrating the one value and the count of
+    collisions is binomial. Of all counts that lose a pair right at the threshold with a chance of LOSS at most the
+    largest is taken; pairs closer together collide more."""
+    x, s = np.linspace(START, START + 6, 4001), math.sqrt(max(1e-12, 1 - threshold**2))
+    high, low = (x + reach(threshold) - threshold * x) / s, (np.maximum(START, x - reach(threshold)) - threshold * x) / s
+    density = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * np.clip(_normal(high) - _normal(low), 0, None)
+    p = 2 * float(density.sum() * (x[1] - x[0])) * 0.99  # both ends; a little less for the steps
+    return max([k for k in range(1, 20) if _below(DIRECTIONS, p, k) <= LOSS], default=1)
 
+
+@cache
 def directions(dim: int, seed: int = SEED) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, PROJECTIONS)).astype(np.float32)
-
-
-def quantize(unit: np.ndarray, step: float) -> np.ndarray:
-    """Projections in steps, as int8 (unit vectors stay far inside; more is cut to the border)."""
-    q = np.floor(unit.astype(np.float32) @ directions(unit.shape[1]) / np.float32(step))
-    return np.clip(q, -62, 62).astype(np.int8)
-
-
-def collisions(qa: np.ndarray, qb: np.ndarray, first: int, least: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs (a, b) whose projections fall into each other's windows at least ``least`` times.
-
-    The rows of ``b`` are sorted by their first projection; each query's windows are counted over the
-    FIRST projections for all rows, and over the others only for rows with ``first`` collisions."""
-    order = np.argsort(qb[:, 0], kind="stable")
-    qb = np.ascontiguousarray(qb[order].T)
-    for i in range(0, len(qa), 256):
-        a = qa[i : i + 256]
-        for j in range(0, qb.shape[1], 4096):
-            b = qb[:, j : j + 4096]
-            count = np.zeros((len(a), b.shape[1]), dtype=np.uint8)
-            for k in range(FIRST):
-                d = a[:, k, None] - b[k][None, :]
-                np.abs(d, out=d)
-                count += d <= STEPS
-            x, y = np.nonzero(count >= first)
-            if same:
-                keep = i + x < order[j + y]
-                x, y = x[keep], y[keep]
-            for c in range(0, len(x), 1 << 16):
-                xs, ys = x[c : c + (1 << 16)], y[c : c + (1 << 16)]
-                rest = np.abs(a[xs, FIRST:] - b[FIRST:, ys].T) <= STEPS
-                good = count[xs, ys] + rest.sum(axis=1) >= least
-                if good.any():
-                    yield i + xs[good], order[j + ys[good]]
+    return np.random.default_rng([seed, dim]).standard_normal((dim, DIRECTIONS), dtype=np.float32)
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def signature(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, value) of every projection beyond START, by row and list. An end of a direction is one
+    sorted list: 2 d the upper end of direction d, 2 d + 1 the lower, its values mirrored."""
+    p = unit.astype(np.float32) @ directions(unit.shape[1])
+    row, d = np.nonzero(np.abs(p) >= np.float32(START))
+    value = p[row, d]
+    return row, (2 * d + (value < 0)).astype(np.int16), np.minimum(np.abs(value) * STEPS, 32767).astype(np.int16)
+
+
+def windows(members: np.ndarray, path: list[int], lists: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows out of ``members`` that are in at least ``least`` common lists, and of these in those of ``path`` and no other
+    list before its last one: so a pair comes from one path only.
+
+    ``lists`` (ascending, padded by -1) tells all lists that a row is in. Where more than DENSE rows are members, each
+    further list that several of them are in splits them, until the path is as long as the count asks for; then, and where there
+    are fewer, products of membership matrices count, tile by tile, what each pair has in common."""
+    own, last = lists[members], path[-1]
+    many = np.bincount(own.ravel().astype(np.int64) + 1, minlength=2 * DIRECTIONS + 1)[1:]
+    shared = many >= 2
+    shared[path] = False
+    if len(members) > DENSE and len(path) < least:
+        flat = own.ravel()
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        for k in np.flatnonzero(shared[last + 1 :]) + last + 1:
+            a, b = np.searchsorted(flat, [k, k + 1])
+            yield from windows(members[order[a:b] // own.shape[1]], [*path, int(k)], lists, least)
+        return
+    use = np.append(shared, False)[own]  # the last place is the padding's
+    some = use.sum(axis=1) >= least - len(path)
+    members, own, use = members[some], own[some], use[some]
+    ids, place = np.flatnonzero(shared), np.cumsum(shared) - 1
+    low = int(np.searchsorted(ids, last))
+
+    def matrix(a: int) -> np.ndarray:
+        out = np.zeros((len(own[a : a + TILE]), len(ids)), np.float32)
+        r, c = np.nonzero(use[a : a + TILE])
+        out[r, place[own[a : a + TILE][r, c]]] = 1
+        return out
+
+    for a in range(0, len(members), TILE):
+        x = matrix(a)
+        for b in range(a, len(members), TILE):
+            y = x if a == b else matrix(b)
+            good = x[:, low:] @ y[:, low:].T >= least - len(path)
+            if low:
+                good &= x[:, :low] @ y[:, :low].T == 0
+            i, j = np.nonzero(np.triu(good, 1) if a == b else good)
+            yield members[a + i], members[b + j]
+
+
+def collisions(i: np.ndarray, j: np.ndarray, lists: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """How often each pair collides: lists that both are in, with values in each other's window."""
+    out = np.empty(len(i), np.int64)
+    for c in range(0, len(i), 2048):
+        x, y = i[c : c + 2048], j[c : c + 2048]
+        same = (lists[x][:, :, None] == lists[y][:, None, :]) & (lists[x] >= 0)[:, :, None]
+        p, a, b = np.nonzero(same)
+        near = np.abs(values[x[p], a].astype(np.int64) - values[y[p], b]) <= width
+        out[c : c + 2048] = np.bincount(p[near], minlength=len(x))
+    return out
 
 
 def near_embeddings(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(``id_col``, ``n_links``, ``component_id``, ``kept``) of each row.
 
     Rows whose cosine (double precision) is ``threshold`` or more are linked. Equal vectors are one class
-    from the start. Classes are dealt into blocks in the order of a projection; a task counts collisions
-    for one pair of blocks, verifies those that reach the calibrated count by their cosine, and returns a
+    from the start. Each class is projected on DIRECTIONS; a projection, sorted, has query-centred windows at its two ends
+    only, where vectors are sparse (in its middle a window as wide as a link needs holds a quarter of all vectors and
+    tells next to nothing). So a class is in about 32 of 24,000 lists, and is sent, with what lists it is in, to the tasks that
+    hold them, each a range of lists. A task counts collisions of the pairs in its lists, verifies those that reach the
+    calibrated count by their cosine, each pair in the first list that it has in common, and returns a
     row for each class (how many vectors it links to) and the edges of a spanning forest instead of
-    all pairs. Every class is compared with every other in blocks, so no frequent value can crowd out a
-    pair; the work grows with the square of the number of different vectors.
+    all pairs. A list of more than ROWS classes is met block by block, so no list is gathered in one task and none is cut.
 
     Defined cases: a vector that is null, empty, zero, or holds a null or non-finite component links with
-    nothing: n_links 0, its own component; vectors of different lengths don't link; a null id takes part
-    as a vector but names no component; repeated rows count as vectors each; no rows give no rows.
+    nothing: n_links 0, its own component; vectors of different lengths don't link; a pair right at the threshold is a link; a null
+    id takes part as a vector but names no component; repeated rows count as vectors each; no rows give no rows; very long
+    vectors cost DIRECTIONS products a component; other columns are not read, whatever their names.
     """
-    spark = rows.sparkSession
-    step, first, least = calibrate(threshold)
-    vec = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    least, width = calibrate(threshold), int(reach(threshold) * STEPS) + 1
+    single = isinstance(rows.schema[vec_col].dataType.elementType, FloatType)
+    kind, dtype = ("float", np.float32) if single else ("double", np.float64)
+    vec = F.transform(F.col(vec_col), lambda x: x.cast(kind))
     ok = F.coalesce(
         (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0.0), F.lit(False)
     )
-    rows = rows.select(F.col(id_col), F.when(ok, F.transform(vec, lambda x: x + F.lit(0.0))).alias("_v"))
+    rows = rows.select(F.col(id_col), F.when(ok, F.transform(vec, lambda x: x + F.lit(0.0).cast(kind))).alias("_v"))
     rows = materialize(rows.withColumn("_class", F.when(F.col("_v").isNotNull(), F.sha2(F.concat_ws(",", F.col("_v").cast("array<string>")), 256))), "emb-rows")
     classes = rows.where("_class is not null").groupBy("_class").agg(F.count(F.lit(1)).alias("many"), F.min(id_col).alias("least"), F.first("_v").alias("v"))
-    n = classes.count()
-    blocks = max(1, math.ceil(n / BLOCK), min(8, math.ceil(16 * n / BLOCK)))  # few vectors make small blocks, for enough tasks
-    way = F.array(*[F.lit(float(x)) for x in np.random.default_rng(SEED).standard_normal(32)])
-    classes = classes.withColumn("_p", F.aggregate(F.zip_with("v", way, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))))
     classes = materialize(classes.withColumn("no", F.monotonically_increasing_id()), "emb-classes")
-    cuts = classes.select(F.percentile_approx("_p", [i / blocks for i in range(1, blocks)] or [0.5], 10 * blocks)).head()[0] or []
-    cuts = np.unique(np.array(cuts if blocks > 1 else [], dtype=float))
-    parts = len(cuts) + 1
+    n = classes.count()
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            length = batch["v"].map(len).to_numpy()
+            for dim in np.unique(length):
+                own = batch[length == dim]
+                for a in range(0, len(own), 1024):
+                    some = own.iloc[a : a + 1024]
+                    x = np.stack(some["v"].to_list()).astype(dtype)
+                    row, lists, values = signature(units(x))
+                    cuts = np.searchsorted(row, np.arange(len(x) + 1))
+                    cut = lambda flat: [flat[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:])]  # noqa: E731, B023
+                    yield pd.DataFrame({"no": some["no"], "many": some["many"], "dim": dim, "v": [r.tobytes() for r in x], "lists": cut(lists), "places": cut(values)})
+
+    signed = classes.select("no", "many", "v").repartition(max(16, math.ceil(n / 20_000)), "no").mapInPandas(sign, "no long, many long, dim int, v binary, lists binary, places binary")
+    signed = materialize(signed, "emb-signed")
+    ends = 2 * DIRECTIONS
+    groups = max(8, math.ceil(32 * n / ROWS))
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lists = [np.frombuffer(x, np.int16) for x in batch["lists"]]
+            found = pd.DataFrame({"dim": np.repeat(batch["dim"], [len(x) for x in lists]), "list": np.concatenate([*lists, np.zeros(0, np.int16)]).astype(int)})
+            yield found.groupby(["dim", "list"]).size().rename("n").reset_index()
+
+    dense = {}
+    if n > ROWS:  # no list holds more rows than there are; otherwise at most 32 n / ROWS lists are dense
+        sizes = signed.select("dim", "lists").mapInPandas(members, "dim int, list int, n long").groupBy("dim", "list").agg(F.sum("n").alias("n"))
+        dense = {(r["dim"], r["list"]): math.ceil(2 * r["n"] / ROWS) for r in sizes.where(F.col("n") > ROWS).collect()}
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            home = np.searchsorted(cuts, batch["_p"].to_numpy(dtype=float), "right")
-            packed = [np.asarray(v, dtype=np.float64).tobytes() for v in batch["v"]]
-            for other in range(parts):
-                yield pd.DataFrame({"a": np.minimum(home, other), "b": np.maximum(home, other), "home": home, "no": batch["no"], "many": batch["many"], "v": packed})
-
-    def compare(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
-        no, many = found["no"].to_numpy(), found["many"].to_numpy()
-        links, forest, home = np.zeros(len(found), np.int64), Forest(len(found)), found["home"].to_numpy()
-        length = found["v"].map(len).to_numpy()
-        for size in np.unique(length):
-            of = np.flatnonzero(length == size)
-            x = np.frombuffer(b"".join(found["v"].iloc[of]), dtype=np.float64).reshape(len(of), -1)
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            q = quantize(unit, step)
-            left, right = np.flatnonzero(home[of] == key[0]), np.flatnonzero(home[of] == key[1])
-            for i, j in collisions(q[left], q[right], first, least, key[0] == key[1]):
-                i, j = left[i], right[j]
-                near = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
-                i, j = of[i[near]], of[j[near]]
-                np.add.at(links, i, many[j])
-                np.add.at(links, j, many[i])
-                forest.add(i, j)
+            at, key = [], []
+            for i, (no, dim, flat) in enumerate(zip(batch["no"], batch["dim"], batch["lists"])):
+                lists = np.frombuffer(flat, np.int16).astype(np.int64)
+                hot = [k for k in lists.tolist() if (dim, k) in dense] if dense else []
+                to = [(-1, g, g, g) for g in np.unique(np.setdiff1d(lists, hot) * groups // ends).tolist()]
+                for k in hot:
+                    home = hash((no, k)) % dense[dim, k]
+                    to += [(k, min(home, b), max(home, b), home) for b in range(dense[dim, k])]
+                at += [i] * len(to)
+                key += to
+            yield pd.concat([pd.DataFrame(key, columns=["list", "a", "b", "home"], dtype=np.int64), batch.iloc[at].reset_index(drop=True)], axis=1)
+
+    def meet(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        dim, hot, part, other = (int(k) for k in key)
+        no, many, home = found["no"].to_numpy(), found["many"].to_numpy(), found["home"].to_numpy()
+        unit = units(np.frombuffer(b"".join(found["v"]), dtype=dtype).reshape(len(found), dim))
+        size = found["lists"].map(len).to_numpy() // 2
+        flat, row = np.frombuffer(b"".join(found["lists"]), np.int16), np.repeat(np.arange(len(found)), size)
+        column = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        lists, values = np.full((len(found), max(1, size.max())), -1, np.int16), np.zeros((len(found), max(1, size.max())), np.int16)
+        lists[row, column], values[row, column] = flat, np.frombuffer(b"".join(found["places"]), np.int16)
+        own = flat == hot if hot >= 0 else (flat.astype(np.int64) * groups // ends == part) & ~np.isin(flat, [k for d, k in dense if d == dim])
+        row, flat = row[own], flat[own]
+        order = np.argsort(flat, kind="stable")
+        row, flat = row[order], flat[order]
+        k, start, length = np.unique(flat, return_index=True, return_counts=True)
+        links, forest = np.zeros(len(found), np.int64), Forest(len(found))
+        for k, s, m in zip(k.tolist(), start.tolist(), length.tolist()):
+            if m < 2:
+                continue
+            for i, j in windows(row[s : s + m], [k], lists, least):
+                if part != other:
+                    cross = home[i] != home[j]
+                    i, j = i[cross], j[cross]
+                for c in range(0, len(i), 1 << 16):
+                    x, y = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+                    often = collisions(x, y, lists, values, width) >= least
+                    x, y = x[often], y[often]
+                    near = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
+                    x, y = x[near], y[near]
+                    if len(x):
+                        np.add.at(links, x, many[y])
+                        np.add.at(links, y, many[x])
+                        forest.add(x, y)
         some = np.flatnonzero(links)
         return pd.DataFrame({"no": no[some], "links": links[some], "to": no[forest.parent[some]]})
 
-    sent = classes.select("no", "many", "v", "_p").mapInPandas(deal, "a int, b int, home int, no long, many long, v binary")
-    found = materialize(sent.groupBy("a", "b").applyInPandas(compare, "no long, links long, to long"), "emb-links")
+    sent = signed.mapInPandas(deal, "list int, a int, b int, home int, no long, many long, dim int, v binary, lists binary, places binary")
+    found = materialize(sent.groupBy("dim", "list", "a", "b").applyInPandas(meet, "no long, links long, to long"), "emb-links")
+    forget(signed)
     parts_of = connected_components(found.select(F.col("no").alias("src"), F.col("to").alias("dst")))
     links = found.groupBy("no").agg(F.sum("links").alias("links"))
     known = classes.select("_class", "no", "many", "least").join(links, "no", "left").join(parts_of.withColumnRenamed("node", "no"), "no", "left")

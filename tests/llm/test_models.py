@@ -189,8 +189,10 @@ def test_tree_routes():
     assert set(got) == want and len(got) == len(set(got))
 
 
-def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(embdedup, "BLOCK", 60)
+@pytest.mark.parametrize("rows_of_a_task", [None, 6])
+def test_embeddings(spark, monkeypatch, rows_of_a_task):
+    if rows_of_a_task:  # lists beyond it are met block by block
+        monkeypatch.setattr(embdedup, "ROWS", rows_of_a_task)
     rng = np.random.default_rng(2)
     base = rng.standard_normal((150, 16))
     near = base[:40] + rng.standard_normal((40, 16)) * 0.12
@@ -218,15 +220,40 @@ def test_embeddings(spark, monkeypatch):
 
 def test_collision_recall():
     """Pairs right at the threshold: the calibrated counts keep nearly all of them."""
-    rng, (step, first, least) = np.random.default_rng(3), embdedup.calibrate()
+    rng, least, width = np.random.default_rng(3), embdedup.calibrate(), int(embdedup.reach() * embdedup.STEPS) + 1
     a = rng.standard_normal((4000, 64))
     a /= np.linalg.norm(a, axis=1)[:, None]
     b = rng.standard_normal((4000, 64))
     b -= (a * b).sum(axis=1)[:, None] * a
     b = 0.9 * a + math.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1)[:, None]
-    qa, qb = embdedup.quantize(a, step).astype(int), embdedup.quantize(b, step).astype(int)
-    hit = np.abs(qa - qb) <= embdedup.STEPS
-    assert ((hit[:, : embdedup.FIRST].sum(axis=1) >= first) & (hit.sum(axis=1) >= least)).mean() >= 0.995
+    row, lists, values = embdedup.signature(np.concatenate([a, b]))
+    size = np.bincount(row, minlength=8000)
+    flat, place = np.full((8000, size.max()), -1, np.int16), np.zeros((8000, size.max()), np.int16)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    flat[row, at], place[row, at] = lists, values
+    often = embdedup.collisions(np.arange(4000), np.arange(4000, 8000), flat, place, width)
+    assert least == 3 and (often >= least).mean() >= 0.999
+    far = embdedup.collisions(np.arange(4000), np.roll(np.arange(4000), 1), flat, place, width)
+    assert (far >= least).mean() <= 0.002
+
+
+def test_common_lists(monkeypatch):
+    """Each pair with enough common lists comes once, however lists are split."""
+    rng = np.random.default_rng(5)
+    lists = np.sort(np.array([rng.choice(60, 12, replace=False) for _ in range(120)]), axis=1).astype(np.int16)
+    lists[:30] = lists[0]  # a hot group
+    lists[rng.random(lists.shape) < 0.1] = -1
+    sets = [set(x[x >= 0].tolist()) for x in lists]
+    want = Counter((i, j) for j in range(120) for i in range(j) if len(sets[i] & sets[j]) >= 3)
+    for dense, tile in ((512, 1024), (5, 7), (40, 16)):
+        monkeypatch.setattr(embdedup, "DENSE", dense)
+        monkeypatch.setattr(embdedup, "TILE", tile)
+        got = Counter()
+        for k in range(60):
+            members = np.flatnonzero((lists == k).any(axis=1))
+            for i, j in embdedup.windows(members, [k], lists, 3) if len(members) > 1 else ():
+                got.update((min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist()))
+        assert got == want
 
 
 def items(n=60):
