@@ -20,7 +20,7 @@ THRESHOLD = 0.9
 #: deviations of the difference of a pair right at the threshold; the chance that such a pair is lost, at most.
 DIRECTIONS, START, REACH, LOSS, SEED = 12_000, 3.0, 2.0, 1e-4, 97
 #: Steps of a deviation in which projections are kept; rows of a task; members of a window that are counted as one matrix.
-STEPS, ROWS, DENSE, TILE = 256, 200_000, 512, 1024
+STEPS, ROWS, DENSE, TILE = 256, 200_000, 1024, 1024
 
 
 def _normal(z: np.ndarray) -> np.ndarray:
@@ -72,57 +72,68 @@ def signature(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, (2 * d + (value < 0)).astype(np.int16), np.minimum(np.abs(value) * STEPS, 32767).astype(np.int16)
 
 
-def windows(members: np.ndarray, path: list[int], lists: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows out of ``members`` that are in at least ``least`` common lists, and of these in those of ``path`` and no other
-    list before its last one: so a pair comes from one path only.
+def windows(members: np.ndarray, path: list[int], lists: np.ndarray, draw: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows out of ``members``, all in the first list of ``path``, that are in at least ``least`` common lists. A pair comes
+    from one list only, drawn from those in common by what ``draw`` (a random number of each row) adds up to, so that the
+    pairs of a hot group spread over its lists; and from one path only, as the others on it are the first in common.
 
     ``lists`` (ascending, padded by -1) tells all lists that a row is in. Where more than DENSE rows are members, each
     further list that several of them are in splits them, until the path is as long as the count asks for; then, and where there
     are fewer, products of membership matrices count, tile by tile, what each pair has in common."""
-    own, last = lists[members], path[-1]
-    many = np.bincount(own.ravel().astype(np.int64) + 1, minlength=2 * DIRECTIONS + 1)[1:]
-    shared = many >= 2
-    shared[path] = False
+    own, first, last = lists[members], path[0], path[-1] if len(path) > 1 else -1
+    order = np.argsort(own.ravel(), kind="stable")
+    flat, row = own.ravel()[order], order // own.shape[1]
+    start = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    ids, size = flat[start], np.diff(np.append(start, len(flat)))
+    shared = (size >= 2) & (ids >= 0) & ~np.isin(ids, path)
     if len(members) > DENSE and len(path) < least:
-        flat = own.ravel()
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        for k in np.flatnonzero(shared[last + 1 :]) + last + 1:
-            a, b = np.searchsorted(flat, [k, k + 1])
-            yield from windows(members[order[a:b] // own.shape[1]], [*path, int(k)], lists, least)
+        for k in np.flatnonzero(shared & (ids > last)):
+            yield from windows(members[row[start[k] : start[k] + size[k]]], [*path, int(ids[k])], lists, draw, least)
         return
-    use = np.append(shared, False)[own]  # the last place is the padding's
-    some = use.sum(axis=1) >= least - len(path)
-    members, own, use = members[some], own[some], use[some]
-    ids, place = np.flatnonzero(shared), np.cumsum(shared) - 1
-    low = int(np.searchsorted(ids, last))
+    row, ids, column = row[np.repeat(shared, size)], ids[shared], np.repeat(np.arange(shared.sum()), size[shared])
+    some = np.bincount(row, minlength=len(members)) >= least - len(path)
+    row, column, members = (np.cumsum(some) - 1)[row[some[row]]], column[some[row]], members[some]
+    low, before = int(np.searchsorted(ids, last)), int(np.searchsorted(ids, first))
+    ahead = sum(k < first for k in path[1:])
 
     def matrix(a: int) -> np.ndarray:
-        out = np.zeros((len(own[a : a + TILE]), len(ids)), np.float32)
-        r, c = np.nonzero(use[a : a + TILE])
-        out[r, place[own[a : a + TILE][r, c]]] = 1
+        out, here = np.zeros((min(TILE, len(members) - a), len(ids)), np.float32), (row >= a) & (row < a + TILE)
+        out[row[here] - a, column[here]] = 1
         return out
 
     for a in range(0, len(members), TILE):
         x = matrix(a)
         for b in range(a, len(members), TILE):
             y = x if a == b else matrix(b)
-            good = x[:, low:] @ y[:, low:].T >= least - len(path)
+            common = x[:, low:] @ y[:, low:].T
+            good = common >= least - len(path)
             if low:
                 good &= x[:, :low] @ y[:, :low].T == 0
             i, j = np.nonzero(np.triu(good, 1) if a == b else good)
-            yield members[a + i], members[b + j]
+            if not len(i):
+                continue
+            rank = (x[:, low:before] @ y[:, low:before].T)[i, j] if before > low else np.zeros(len(i))
+            drawn = ((draw[members[a + i]] + draw[members[b + j]]) >> np.uint64(33)) % (common[i, j] + len(path)).astype(np.uint64)
+            mine = drawn == (rank + ahead).astype(np.uint64)
+            yield members[a + i[mine]], members[b + j[mine]]
+
+
+def coded(lists: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A number of each list and value, in which those of one list lie as far apart as the values and others farther than any window."""
+    return lists.astype(np.int32) * 16384 + np.minimum(values, 16383)
 
 
-def collisions(i: np.ndarray, j: np.ndarray, lists: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
-    """How often each pair collides: lists that both are in, with values in each other's window."""
+def collisions(i: np.ndarray, j: np.ndarray, codes: np.ndarray, width: int, enough: int) -> np.ndarray:
+    """How often each pair collides: lists that both are in, with the one's value in the window around the other's. Not
+    counted on where ``enough`` are found."""
     out = np.empty(len(i), np.int64)
     for c in range(0, len(i), 2048):
-        x, y = i[c : c + 2048], j[c : c + 2048]
-        same = (lists[x][:, :, None] == lists[y][:, None, :]) & (lists[x] >= 0)[:, :, None]
-        p, a, b = np.nonzero(same)
-        near = np.abs(values[x[p], a].astype(np.int64) - values[y[p], b]) <= width
-        out[c : c + 2048] = np.bincount(p[near], minlength=len(x))
+        x, y = codes[i[c : c + 2048]], codes[j[c : c + 2048]]
+        x = np.where(x < 0, -(1 << 29), x)  # the padding of both must not meet
+        n = (np.abs(x[:, :8, None] - y[:, None, :]) <= width).sum(axis=(1, 2))
+        rest = np.flatnonzero(n < enough)
+        n[rest] += (np.abs(x[rest, 8:, None] - y[rest, None, :]) <= width).sum(axis=(1, 2))
+        out[c : c + 2048] = n
     return out
 
 
@@ -134,7 +145,7 @@ def near_embeddings(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
     only, where vectors are sparse (in its middle a window as wide as a link needs holds a quarter of all vectors and
     tells next to nothing). So a class is in about 32 of 24,000 lists, and is sent, with what lists it is in, to the tasks that
     hold them, each a range of lists. A task counts collisions of the pairs in its lists, verifies those that reach the
-    calibrated count by their cosine, each pair in the first list that it has in common, and returns a
+    calibrated count by their cosine, each pair in one list drawn from those it has in common, and returns a
     row for each class (how many vectors it links to) and the edges of a spanning forest instead of
     all pairs. A list of more than ROWS classes is met block by block, so no list is gathered in one task and none is cut.
 
@@ -208,6 +219,7 @@ def near_embeddings(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
         column = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         lists, values = np.full((len(found), max(1, size.max())), -1, np.int16), np.zeros((len(found), max(1, size.max())), np.int16)
         lists[row, column], values[row, column] = flat, np.frombuffer(b"".join(found["places"]), np.int16)
+        codes, draw = coded(lists, values), pd.util.hash_array(no)
         own = flat == hot if hot >= 0 else (flat.astype(np.int64) * groups // ends == part) & ~np.isin(flat, [k for d, k in dense if d == dim])
         row, flat = row[own], flat[own]
         order = np.argsort(flat, kind="stable")
@@ -217,13 +229,13 @@ def near_embeddings(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
         for k, s, m in zip(k.tolist(), start.tolist(), length.tolist()):
             if m < 2:
                 continue
-            for i, j in windows(row[s : s + m], [k], lists, least):
+            for i, j in windows(row[s : s + m], [k], lists, draw, least):
                 if part != other:
                     cross = home[i] != home[j]
                     i, j = i[cross], j[cross]
                 for c in range(0, len(i), 1 << 16):
                     x, y = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
-                    often = collisions(x, y, lists, values, width) >= least
+                    often = collisions(x, y, codes, width, least) >= least
                     x, y = x[often], y[often]
                     near = np.einsum("ij,ij->i", unit[x], unit[y]) >= threshold
                     x, y = x[near], y[near]

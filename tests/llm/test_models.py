@@ -231,9 +231,10 @@ def test_collision_recall():
     flat, place = np.full((8000, size.max()), -1, np.int16), np.zeros((8000, size.max()), np.int16)
     at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     flat[row, at], place[row, at] = lists, values
-    often = embdedup.collisions(np.arange(4000), np.arange(4000, 8000), flat, place, width)
+    codes = embdedup.coded(flat, place)
+    often = embdedup.collisions(np.arange(4000), np.arange(4000, 8000), codes, width, least)
     assert least == 3 and (often >= least).mean() >= 0.999
-    far = embdedup.collisions(np.arange(4000), np.roll(np.arange(4000), 1), flat, place, width)
+    far = embdedup.collisions(np.arange(4000), np.roll(np.arange(4000), 1), codes, width, least)
     assert (far >= least).mean() <= 0.002
 
 
@@ -243,6 +244,9 @@ def test_common_lists(monkeypatch):
     lists = np.sort(np.array([rng.choice(60, 12, replace=False) for _ in range(120)]), axis=1).astype(np.int16)
     lists[:30] = lists[0]  # a hot group
     lists[rng.random(lists.shape) < 0.1] = -1
+    lists = np.sort(np.where(lists < 0, 99, lists), axis=1)
+    lists[lists == 99] = -1
+    draw = rng.integers(0, 2**63, 120, dtype=np.uint64)
     sets = [set(x[x >= 0].tolist()) for x in lists]
     want = Counter((i, j) for j in range(120) for i in range(j) if len(sets[i] & sets[j]) >= 3)
     for dense, tile in ((512, 1024), (5, 7), (40, 16)):
@@ -251,7 +255,7 @@ def test_common_lists(monkeypatch):
         got = Counter()
         for k in range(60):
             members = np.flatnonzero((lists == k).any(axis=1))
-            for i, j in embdedup.windows(members, [k], lists, 3) if len(members) > 1 else ():
+            for i, j in embdedup.windows(members, [k], lists, draw, 3) if len(members) > 1 else ():
                 got.update((min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist()))
         assert got == want
 
