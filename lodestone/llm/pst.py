@@ -22,8 +22,8 @@ DEPTH, LEAST = 3, 2
 #: A context stays if its divergence from the next shorter one is at least so many nats a token, and above chance
 #: by so many standard deviations of the likelihood-ratio statistic. Weight of the shorter context in smoothing.
 DIVERGENCE, DEVIATIONS, PRIOR = 0.005, 4.0, 2.0
-#: Tokens of a bundle of texts, tokens for each part of a table, bytes of a text that are parted at once, rounds in which the
-#: parts of the tree answer.
+#: Tokens of a bundle of texts, tokens for each part of a table, bytes of a text that are parted at once, rounds in which
+#: bundles ask the tree.
 BUNDLE, PART, SLICE, ROUNDS = 1 << 19, 1 << 21, 1 << 24, 4
 #: Bits (power of 2) of the maps that tell most keys that are not in a table. They only save work: what they let
 #: through is counted or looked up exactly.
@@ -351,12 +351,10 @@ def fit(bundles: DataFrame) -> Tree:
     return Tree(n, v, packed, parts, Bits.gather(packed, log, parts))
 
 
-def _asked(words: np.ndarray, s: np.ndarray, bits: Bits, within: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, list]:
-    """The order of the words by key; the keys of contexts and entries that a bundle must look up, in order (only those ``within``
-    a range, if given); for each length from DEPTH down (places with a context that may be known, their places among the keys, the
+def _asked(words: np.ndarray, s: np.ndarray, bits: Bits) -> tuple[np.ndarray, np.ndarray, list]:
+    """The order of the words by key; the keys of contexts and entries that a bundle must look up, in order; for each length from DEPTH down (places with a context that may be known, their places among the keys, the
     same for entries)."""
     keys, whole = grams(s, DEPTH + 1)
-    inside = lambda k: slice(None) if within is None else (k >= np.uint64(within[0])) & (k <= np.uint64(within[1]))
     wanted, at = [], np.flatnonzero(whole[1])
     for d in range(1, DEPTH + 1):  # a context is in the tree only if all shorter ones are, and an entry only if its context is
         at = at[whole[d][at]]
@@ -364,8 +362,7 @@ def _asked(words: np.ndarray, s: np.ndarray, bits: Bits, within: tuple[int, int]
         may = bits.has(k)
         at, k = at[may], k[may]
         entry = at[bits.has(keys[d][at])]
-        own = inside(k), inside(keys[d][entry])
-        wanted = [(at[own[0]], k[own[0]]), (entry[own[1]], keys[d][entry][own[1]]), *wanted]
+        wanted = [(at, k), (entry, keys[d][entry]), *wanted]
     places, unique = pd.factorize(np.concatenate([k for _, k in wanted]))
     order = np.argsort(unique)
     rank = np.empty(len(order), np.int64)
@@ -389,18 +386,15 @@ def score(bundles: DataFrame, tree: Tree, id_col: str = "doc_id") -> DataFrame:
     parts, shift, per_token = tree.parts, np.uint64(64 - tree.parts), math.log10(tree.n + tree.v + 1)
     shared = bundles.sparkSession.sparkContext.broadcast(tree.bits)
 
-    def asked(turn: int):
-        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            low, high = (turn << parts) // ROUNDS, ((turn + 1) << parts) // ROUNDS
-            for row in _rows(batches):
-                words, _, _, s, _ = _opened(row)
-                order, unique, *_ = _asked(words, s, shared.value, (low << int(shift), (high << int(shift)) - 1))
-                words, edges = words[order], np.arange(low, high + 1)
-                w, g = np.searchsorted(words >> shift, edges), np.searchsorted(unique >> shift, edges)
-                own = [_packed(words[a:b]) for a, b in zip(w[:-1], w[1:])]
-                yield pd.DataFrame({"bundle": row["bundle"], "part": edges[:-1], "words": own, "grams": [_packed(unique[a:b]) for a, b in zip(g[:-1], g[1:])]})
-
-        return ask
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges = np.arange((1 << parts) + 1)
+        for row in _rows(batches):
+            words, _, _, s, _ = _opened(row)
+            order, unique, *_ = _asked(words, s, shared.value)
+            words = words[order]
+            w, g = np.searchsorted(words >> shift, edges), np.searchsorted(unique >> shift, edges)
+            own = [_packed(words[a:b]) for a, b in zip(w[:-1], w[1:])]
+            yield pd.DataFrame({"bundle": row["bundle"], "part": edges[:-1], "words": own, "grams": [_packed(unique[a:b]) for a, b in zip(g[:-1], g[1:])]})
 
     def answer(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         out = {"bundle": asks["bundle"], "part": asks["part"]}
@@ -439,16 +433,18 @@ def score(bundles: DataFrame, tree: Tree, id_col: str = "doc_id") -> DataFrame:
             "n_known": add((c > 0)[codes].astype(np.int64)), "base_score": add(base) - length * per_token, "score": add(out[s != 0]),
         })
 
-    packed, found = tree.packed.drop("bits").repartition(2 << parts, "part").groupBy("part"), []
-    for turn in range(ROUNDS):  # the same bundles ask another range of the tree, so that less is in the shuffle at once
-        asks = bundles.select("bundle", "train", "length", "words", "codes").mapInPandas(asked(turn), "bundle long, part int, words binary, grams binary")
-        own = asks.repartition(2 << parts, "part").groupBy("part").cogroup(packed).applyInPandas(answer, "bundle long, part int, words binary, grams binary")
-        found.append(materialize(own, "lm-answers"))
-    found = reduce(DataFrame.union, found)
+    packed, out = tree.packed.drop("bits").repartition(2 << parts, "part").groupBy("part"), []
     tasks = max(16, min(20_000, bundles.count()))
     kind = "id long, missing boolean, n_tokens long, n_known long, base_score double, score double"
-    out = bundles.drop("tokens", "trained").repartition(tasks, "bundle").groupBy("bundle")
-    out = out.cogroup(found.repartition(tasks, "bundle").groupBy("bundle")).applyInPandas(judge, kind)
+    for turn in range(ROUNDS):  # a share of the bundles at a time, so that less is in the shuffle and in answers at once
+        own = bundles.drop("tokens", "trained").where(F.pmod(F.xxhash64("bundle"), F.lit(ROUNDS)) == turn)
+        asks = own.select("bundle", "train", "length", "words", "codes").mapInPandas(ask, "bundle long, part int, words binary, grams binary")
+        found = asks.repartition(2 << parts, "part").groupBy("part").cogroup(packed).applyInPandas(answer, "bundle long, part int, words binary, grams binary")
+        found = materialize(found, "lm-answers")
+        judged = own.repartition(tasks, "bundle").groupBy("bundle").cogroup(found.repartition(tasks, "bundle").groupBy("bundle")).applyInPandas(judge, kind)
+        out.append(materialize(judged, "lm-scores"))
+        forget(found)
+    out = reduce(DataFrame.union, out)
     return out.select(F.when(~F.col("missing"), F.col("id")).alias(id_col), "n_tokens", "n_known", "base_score", "score")
 
 
