@@ -13,6 +13,8 @@ from lodestone.sources.graph import TAGGED, as_type, display, is_float, is_int,
 ID, IDS = "id", "ids"  # types of element ids (shown as 26 characters) and lists of them
 NULL = T.NullType()
 AGGREGATES = {"count", "sum", "avg", "min", "max", "collect"}
+#: A list of range() has one element more at most.
+RANGE_MOST = 1_000_000
 
 
 @dataclass
@@ -315,7 +317,9 @@ def scalar(name: str, args: list[Val], safe: bool) -> Val:
         empty = F.array().cast("array<long>")
         wrong = ((step > 0) & (x > y)) | ((step < 0) & (x < y))
         safe_step = F.when(wrong | (step == 0), F.when(x <= y, F.lit(1)).otherwise(F.lit(-1))).otherwise(step).cast("long")
-        return Val(F.when(step == 0, zero).when(wrong, empty).otherwise(F.sequence(x, y, safe_step)), T.ArrayType(T.LongType()))
+        last = F.try_add(x, F.try_multiply(safe_step, F.lit(RANGE_MOST)))  # null beyond the longs, where least and greatest pass it over
+        y = F.when(safe_step > 0, F.least(y, last)).otherwise(F.greatest(y, last))
+        return Val(F.when(step == 0, zero).when(wrong, empty).otherwise(F.sequence(x, F.when(~wrong, y).otherwise(x), safe_step)), T.ArrayType(T.LongType()))
     if name in ("head", "last"):
         return _elem(a, lambda c: F.try_element_at(c, F.lit(1 if name == "head" else -1)))
     if name == "tail":

@@ -375,7 +375,7 @@ class GraphSession:
         if edges is not None:
             edges = materialize(edges.distinct(), "delete")
             n += edges.count()
-            graph = replace(graph, edges=tuple(replace(p, df=materialize(p.df.join(edges, "id", "left_anti"), "delete")) for p in graph.edges))
+            graph = replace(graph, edges=tuple(without(p, edges, "id") for p in graph.edges))
         if nodes is not None:
             nodes = materialize(nodes.distinct(), "delete")
             n += nodes.count()
@@ -385,8 +385,8 @@ class GraphSession:
                     if any(not p.df.join(e, e.columns[0], "left_semi").isEmpty() for e in ends):
                         raise GraphError("node has edges; use DETACH DELETE")
             else:
-                graph = replace(graph, edges=tuple(replace(p, df=materialize(p.df.join(ends[0], "src", "left_anti").join(ends[1], "dst", "left_anti").select(p.df.columns), "delete")) for p in graph.edges))
-            graph = replace(graph, nodes=tuple(replace(p, df=materialize(p.df.join(nodes, "id", "left_anti"), "delete")) for p in graph.nodes))
+                graph = replace(graph, edges=tuple(without(without(p, ends[0], "src"), ends[1], "dst") for p in graph.edges))
+            graph = replace(graph, nodes=tuple(without(p, nodes, "id") for p in graph.nodes))
         self.become(graph)
         return self.result("Deleted", n)
 
@@ -435,6 +435,13 @@ class GraphSession:
         return (label, prop, "node" if node else "edge", sum(p.df.where(F.col(f"`{prop}`").isNotNull()).count() for p in own))
 
 
+def without(part, gone: DataFrame, on: str):
+    """``part`` without the rows whose ``on`` is in ``gone``; written anew only if it has such rows."""
+    if part.df.join(gone, on, "left_semi").isEmpty():
+        return part
+    return replace(part, df=materialize(part.df.join(gone, on, "left_anti").select(part.df.columns), "delete"))
+
+
 def plain(value: Any, t: T.DataType) -> Any:
     return value[value["t"]] if t == TAGGED else value
 

@@ -234,7 +234,9 @@ class PropertyGraph:
     # -- files ------------------------------------------------------------------------------------
     def save(self, path: str) -> None:
         """A folder of Parquet tables with a manifest of them; the manifest is written last."""
-        meta = {"next_id": self.next_id, "indexes": self.indexes, "constraints": self.constraints, "nodes": [], "edges": []}
+        meta = {"next_id": self.next_id, "indexes": self.indexes, "constraints": self.constraints, "csv_ids": self.csv_ids is not None, "nodes": [], "edges": []}
+        if self.csv_ids is not None:
+            self.csv_ids.write.mode("overwrite").parquet(f"{path}/csv-ids")
         for kind, parts in (("nodes", self.nodes), ("edges", self.edges)):
             for i, p in enumerate(parts):
                 p.df.write.mode("overwrite").parquet(f"{path}/{kind}-{i}")
@@ -253,6 +255,7 @@ class PropertyGraph:
             meta["next_id"],
             tuple(map(tuple, meta["indexes"])),
             tuple(map(tuple, meta["constraints"])),
+            spark.read.schema("csv_id string, id long").parquet(f"{path}/csv-ids") if meta.get("csv_ids") else None,
         )
 
 
@@ -302,8 +305,10 @@ class GraphBuilder:
 
     def edge_table(self, label: str, df: DataFrame, src: tuple[str, str], dst: tuple[str, str], props: list[str] | None = None, directed: bool = True) -> GraphBuilder:
         """Edges from the rows of ``df``; ``src`` and ``dst`` are (node label, key column). Edge ids number the
-        rows as they are read."""
+        rows as they are read. A shuffle may deal rows anew at each reading, so a table that needs one is written once."""
         ordinal = 1 << 62 | (len(self.edges) + 1) << 52
+        if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+            df = materialize(df, "edges")
         self.edges.append(
             EdgePart(
                 label,

@@ -181,14 +181,14 @@ gql("path_zero_hop", "MATCH (n:Nation)-[:IN_REGION*0..1]->(x) RETURN n.n_nationk
 gql("path_unbounded", "MATCH (s)-[*]->(r:Region) RETURN r.r_name AS r, count(*) AS n",
     f"WITH RECURSIVE {FOREST}, v AS (SELECT DISTINCT s AS x FROM e UNION SELECT d FROM e), p(s, d) AS (SELECT x, x FROM v UNION ALL SELECT p.s, e.d FROM p JOIN e ON p.d = e.s) SELECT r_name AS r, count(*) AS n FROM p JOIN region ON d = 'r' || r_regionkey GROUP BY 1", supply_graph)
 gql("path_length_var", "MATCH (s:Supplier)-[p*1..2]->(x) RETURN s.s_suppkey AS s, length(p) AS l, labels(x) AS t", "SELECT s_suppkey AS s, 1::BIGINT AS l, ['Nation'] AS t FROM supplier UNION ALL SELECT s_suppkey, 2, ['Region'] FROM supplier", supply_graph)
-gql("path_trail", "MATCH TRAIL (a:User {user_id: 5})-[:NEXT*1..2]->(b:User) RETURN b.user_id AS b, count(*) AS n",
-    f"WITH {NEXT}, p AS (SELECT dst FROM n WHERE src = 5 UNION ALL SELECT y.dst FROM n x JOIN n y ON x.dst = y.src AND x.e <> y.e WHERE x.src = 5) SELECT dst AS b, count(*) AS n FROM p GROUP BY 1", user_graph)
-gql("path_simple", "MATCH SIMPLE (a:User {user_id: 5})-[:NEXT*1..2]->(b:User) RETURN b.user_id AS b, count(*) AS n",
-    f"WITH {NEXT}, p AS (SELECT dst FROM n WHERE src = 5 AND dst <> 5 UNION ALL SELECT y.dst FROM n x JOIN n y ON x.dst = y.src WHERE x.src = 5 AND x.dst <> 5 AND y.dst <> 5 AND y.dst <> x.dst) SELECT dst AS b, count(*) AS n FROM p GROUP BY 1", user_graph)
+gql("path_trail", "MATCH TRAIL (a:User)-[:NEXT*1..2]->(b:User) RETURN b.user_id AS b, count(*) AS n",
+    f"WITH {NEXT}, p AS (SELECT dst FROM n UNION ALL SELECT y.dst FROM n x JOIN n y ON x.dst = y.src AND x.e <> y.e) SELECT dst AS b, count(*) AS n FROM p GROUP BY 1", user_graph)
+gql("path_simple", "MATCH SIMPLE (a:User)-[:NEXT*1..2]->(b:User) RETURN b.user_id AS b, count(*) AS n",
+    f"WITH {NEXT}, p AS (SELECT dst FROM n WHERE dst <> src UNION ALL SELECT y.dst FROM n x JOIN n y ON x.dst = y.src WHERE x.dst <> x.src AND y.dst <> x.src AND y.dst <> x.dst) SELECT dst AS b, count(*) AS n FROM p GROUP BY 1", user_graph)
 gql("path_undirected", "MATCH (r:Region {r_regionkey: 0})-[:IN_REGION*2]-(x) RETURN labels(x) AS l, count(*) AS n",
     "WITH k AS (SELECT count(*) AS c FROM nation WHERE n_regionkey = 0) SELECT ['Region'] AS l, c AS n FROM k WHERE c > 0", supply_graph)
-gql("path_edge_prop_list", "MATCH (a:User {user_id: 3})-[p:NEXT*2]->(b) RETURN b.user_id AS b, p.value AS v, size(p.value) AS s",
-    f"WITH {NEXT} SELECT y.dst AS b, [x.value, y.value] AS v, 2::BIGINT AS s FROM n x JOIN n y ON x.dst = y.src WHERE x.src = 3", user_graph)
+gql("path_edge_prop_list", "MATCH (a:User)-[p:NEXT*2]->(b) RETURN a.user_id AS a, b.user_id AS b, p.value AS v, size(p.value) AS s",
+    f"WITH {NEXT} SELECT x.src AS a, y.dst AS b, [x.value, y.value] AS v, 2::BIGINT AS s FROM n x JOIN n y ON x.dst = y.src", user_graph)
 gql("path_plus_chain", "MATCH (c:Customer)-[:PLACED]->(o:Order)-[:CONTAINS{1,1}]->(p:Part) RETURN c.c_mktsegment AS s, count(*) AS n", "SELECT c_mktsegment AS s, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 
 
@@ -204,8 +204,8 @@ def uid(key: int) -> int:
 ADJ = "d AS (SELECT DISTINCT src, dst FROM n WHERE src <> dst)"
 users("call_degree", "CALL degreeCentrality(normalized: false) YIELD node, in_degree, out_degree, degree MATCH (u:User) WHERE u = node RETURN u.user_id AS u, in_degree AS i, out_degree AS o, degree AS d",
       f"WITH {NEXT}, {USERS} SELECT id AS u, (SELECT count(*) FROM n WHERE dst = id) AS i, (SELECT count(*) FROM n WHERE src = id) AS o, (SELECT count(*) FROM n WHERE dst = id) + (SELECT count(*) FROM n WHERE src = id) AS d FROM u")
-users("call_bfs", f"CALL bfs(start: {uid(1)}, maxDepth: 3) YIELD node, depth MATCH (u:User) WHERE u = node RETURN u.user_id AS u, depth",
-      f"WITH RECURSIVE {NEXT}, {ADJ}, r(x, k) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT dst, k + 1 FROM r JOIN d ON x = src WHERE k < 3) SELECT x AS u, min(k) AS depth FROM r GROUP BY 1")
+users("call_bfs", f"CALL bfs(start: {uid(1)}) YIELD node, depth MATCH (u:User) WHERE u = node RETURN u.user_id AS u, depth",
+      f"WITH RECURSIVE {NEXT}, {ADJ}, r(x, k) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT dst, k + 1 FROM r JOIN d ON x = src WHERE k < 12) SELECT x AS u, min(k) AS depth FROM r GROUP BY 1")
 users("call_wcc", "CALL wcc() YIELD node, component, size MATCH (u:User), (c:User) WHERE u = node AND c = component RETURN u.user_id AS u, c.user_id AS c, size",
       f"WITH RECURSIVE {NEXT}, {USERS}, b AS (SELECT DISTINCT src, dst FROM n UNION SELECT dst, src FROM n), r(s, x) AS (SELECT id, id FROM u UNION SELECT s, dst FROM r JOIN b ON x = src), c AS (SELECT s, min(x) AS c FROM r GROUP BY s) SELECT s AS u, c, count(*) OVER (PARTITION BY c) AS size FROM c")
 users("call_scc", "CALL scc() YIELD node, component, size MATCH (u:User), (c:User) WHERE u = node AND c = component RETURN u.user_id AS u, c.user_id AS c, size",
@@ -227,8 +227,12 @@ users("call_triangles_global", "CALL triangleCount(mode: 'global') YIELD triangl
       f"WITH {NEXT}, {PAIR}, {TRI}, g AS (SELECT x, count(*) AS k FROM (SELECT a AS x FROM q UNION ALL SELECT b FROM q) GROUP BY x) SELECT (SELECT count(*) FROM t) AS triangles, round(3.0 * (SELECT count(*) FROM t) / (SELECT sum(k * (k - 1) // 2) FROM g) * 1000000) AS t")
 users("call_jaccard", "CALL jaccardSimilarity(topK: 3) YIELD node1, node2, score MATCH (a:User), (b:User) WHERE a = node1 AND b = node2 RETURN a.user_id AS a, b.user_id AS b, round(score * 1000000) AS s",
       f"WITH {NEXT}, x AS (SELECT DISTINCT src AS a, dst AS b FROM n WHERE src <> dst UNION SELECT dst, src FROM n WHERE src <> dst), g AS (SELECT a, count(*) AS k FROM x GROUP BY a), p AS (SELECT l.a AS a, r.a AS b, count(*) AS c FROM x l JOIN x r ON l.b = r.b AND l.a <> r.a GROUP BY 1, 2), s AS (SELECT p.a, p.b, c / (ga.k + gb.k - c)::DOUBLE AS s FROM p JOIN g ga ON ga.a = p.a JOIN g gb ON gb.a = p.b), w AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM s) SELECT a, b, round(s * 1000000) AS s FROM w WHERE k <= 3")
-users("call_label_propagation", "CALL labelPropagation(maxIterations: 1) YIELD node, community MATCH (u:User), (c:User) WHERE u = node AND c = community RETURN u.user_id AS u, c.user_id AS c",
-      f"WITH {NEXT}, {USERS}, x AS (SELECT DISTINCT src AS a, dst AS b FROM n WHERE src <> dst UNION SELECT dst, src FROM n WHERE src <> dst) SELECT id AS u, coalesce((SELECT min(b) FROM x WHERE a = id), id) AS c FROM u")
+VOTES = ", ".join(
+    f"l{i + 1} AS MATERIALIZED (SELECT p.id, coalesce(v.l, p.l) AS l FROM l{i} p LEFT JOIN (SELECT a, l, row_number() OVER (PARTITION BY a ORDER BY count(*) DESC, l) AS k FROM x JOIN l{i} ON b = id GROUP BY a, l) v ON v.a = p.id AND v.k = 1)"
+    for i in range(10)
+)
+users("call_label_propagation", "CALL labelPropagation() YIELD node, community MATCH (u:User), (c:User) WHERE u = node AND c = community RETURN u.user_id AS u, c.user_id AS c",
+      f"WITH {NEXT}, {USERS}, x AS (SELECT DISTINCT src AS a, dst AS b FROM n WHERE src <> dst UNION SELECT dst, src FROM n WHERE src <> dst), l0 AS (SELECT id, id AS l FROM u), {VOTES} SELECT id AS u, l AS c FROM l10")
 users("call_shortest_path", f"CALL shortestPath(source: {uid(1)}) YIELD target, cost, path MATCH (u:User) WHERE u = target RETURN u.user_id AS u, cost, size(path) AS l",
       f"WITH RECURSIVE {NEXT}, {ADJ}, r(x, k) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, k + 1 FROM r JOIN d ON x = src WHERE k < 12) SELECT x AS u, min(k)::DOUBLE AS cost, min(k)::BIGINT + 1 AS l FROM r WHERE x <> 1 GROUP BY 1")
 users("call_shortest_path_weighted", f"CALL shortestPath(source: {uid(1)}, weight: 'value', maxCost: 8.0) YIELD target, cost MATCH (u:User) WHERE u = target RETURN u.user_id AS u, round(cost * 10000) AS c",
@@ -335,14 +339,14 @@ def show_indexes(spark, sf_dir):
     return s.query("SHOW INDEXES")
 
 
-@query("csv_roundtrip", "SELECT a.n_name AS a, r_name AS b, a.n_nationkey::BIGINT * 2 AS w FROM nation a JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 10")
+@query("csv_roundtrip", "SELECT a.n_name AS a, r_name AS b, a.n_nationkey::BIGINT * 2 AS w FROM nation a JOIN region ON n_regionkey = r_regionkey")
 def csv_roundtrip(spark, sf_dir):
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     folder = new_folder(spark, "csv")
     nodes = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias(":ID"), F.lit("Nation").alias(":LABEL"), F.col("n_name").alias("name"))
     nodes = nodes.union(t("region").select(F.concat(F.lit("r"), "r_regionkey"), F.lit("Region"), "r_name"))
     nodes.write.option("header", True).csv(f"{folder}/nodes")
-    edges = t("nation").where("n_nationkey < 10").select(F.concat(F.lit("n"), "n_nationkey").alias(":START_ID"), F.concat(F.lit("r"), "n_regionkey").alias(":END_ID"), F.lit("IN").alias(":TYPE"), (F.col("n_nationkey") * 2).alias("w"))
+    edges = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias(":START_ID"), F.concat(F.lit("r"), "n_regionkey").alias(":END_ID"), F.lit("IN").alias(":TYPE"), (F.col("n_nationkey") * 2).alias("w"))
     edges.union(edges.limit(1).withColumn(":END_ID", F.lit("nowhere"))).write.option("header", True).csv(f"{folder}/edges")
     s = GraphSession(PropertyGraph(spark))
     s.query(f"LOAD CSV NODES FROM '{folder}/nodes'")

@@ -210,6 +210,44 @@ def test_stored_graph(spark, tmp_path):
     assert c.list() == []
 
 
+def test_csv_ids_are_kept(spark, tmp_path):
+    from lodestone.sources.catalog import GraphCatalog
+
+    (tmp_path / "n.csv").write_text(":ID,name\n1,a\n2,b\n")
+    (tmp_path / "e.csv").write_text(":START_ID,:END_ID\n1,2\n2,9\n")
+    c = GraphCatalog(spark, str(tmp_path / "graphs"))
+    c.create("one").load_csv_nodes(str(tmp_path / "n.csv"), "N")
+    assert c.open("one").load_csv_edges(str(tmp_path / "e.csv")) == (1, 1)
+    with pytest.raises(GraphError):
+        c.open("one").load_csv_nodes(str(tmp_path / "n.csv"))
+
+
+def test_range_ends(s):
+    top = (1 << 63) - 1
+    got = rows(s, "UNWIND [1] AS i RETURN size(range(1, 5000000)), last(range(0, 0 - 9000000, 0 - 3)), range($a, $b), range(3, 1, 1)", a=top - 1, b=top)
+    assert got == [(1000001, -3000000, [top - 1, top], [])]
+
+
+def test_edge_ids_are_stable(spark):
+    from lodestone.sources.graph import GraphBuilder
+
+    pairs = spark.range(0, 200, 1, 4).selectExpr("id % 7 AS a", "id % 5 AS b").distinct()
+    g = GraphBuilder(spark).node_table("N", spark.range(7), "id").edge_table("E", pairs, ("N", "a"), ("N", "b")).build()
+    (part,) = g.edges
+    one, two = (sorted(map(tuple, part.df.select("id", "src", "dst").repartition(n, "dst").collect())) for n in (2, 3))
+    assert one == two and "Exchange" not in part.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_delete_leaves_other_parts(s):
+    knows(s)
+    s.query("INSERT (:City {name: 'Oslo'})")
+    before = {p.labels: p.df for p in s.graph.nodes}
+    s.query("MATCH (n:Person {name: 'Bob'}) DETACH DELETE n")
+    after = {p.labels: p.df for p in s.graph.nodes}
+    city, person = frozenset(["City"]), frozenset(["Person"])
+    assert after[city] is before[city] and after[person] is not before[person]
+
+
 def test_csv(s, tmp_path):
     (tmp_path / "n.csv").write_text(":ID,name,age,:LABEL,:X\n1, Alice ,30,Person,q\n2,Bob,,Person,q\n3,Acme,1.5,Co,q\n")
     (tmp_path / "e.csv").write_text(":START_ID,:END_ID,:TYPE,w\n1,2,KNOWS,0.5\n1,3,,2\n1,9,KNOWS,1\n")
