@@ -9,17 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, langid, mixing, neardup, tokens
+from lodestone.llm.joins import fresh
 from lodestone.shared import forget, materialize
 
-#: A document goes if its language is undetermined or its calibrated probability is below this.
-LEAST_SCORE = 0.3
+#: A document goes if its calibrated probability is less than this share of the way from chance (one by the number of
+#: languages) to certainty: 0.3 with four languages.
+ABOVE_CHANCE = 1 / 15
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: texts without a letter and those below LEAST_SCORE go."""
+    """Documents with a language: texts without a letter go, and those whose language is hardly likelier than chance
+    (ABOVE_CHANCE). Where no row has a label nothing can be learned, and all texts with a letter stay."""
     model = langid.fit(docs.where(~langid.held_out()))
-    judged = langid.predict(docs, model, lang_col="_lang", score_col="_score")
-    return judged.where((judged["_lang"] != langid.UNDETERMINED) & (judged["_score"] >= LEAST_SCORE)).select(*docs.columns)
+    if not model.languages:
+        return docs.where(docs["text"].rlike(r"\p{L}"))
+    chance = 1 / len(model.languages)
+    lang, score = fresh(docs, "_lang"), fresh(docs, "_score")
+    judged = langid.predict(docs, model, lang_col=lang, score_col=score)
+    return judged.where((judged[lang] != langid.UNDETERMINED) & (judged[score] >= chance + ABOVE_CHANCE * (1 - chance))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
