@@ -325,6 +325,27 @@ def test_pipeline(spark, tmp_path):
     assert Counter(r.doc_id for r in out) == Counter(seen["source_mix"])
 
 
+def test_pipeline_odd_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame(items(5), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clash = "_lang, _score, _judged, _row, _place, _times, _whole, tokens, shard".split(", ")
+    texts = [(i, prose("en", 40, 300 + i), None, "s0", 0) for i in range(12)] + [(50, None, None, None, 0), (51, "12 34", None, "s1", 0), (52, prose("fr", 9000, 7), None, "s1", 0)]
+    texts += [texts[0], (None, prose("en", 40, 900), None, None, None)]
+    docs = spark.createDataFrame(texts, DOCS).selectExpr("*", *[f"concat('x', doc_id) AS {c}" for c in clash])
+    for name, stage in cp.STAGES[:-1]:  # no label: nothing is learned, and what has a letter stays
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in DOCS.split(", ")] + clash, name
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        got = docs.collect()
+        assert {r.doc_id for r in got} == {*range(12), 52, None}, name
+        assert all(r[c] == (r.doc_id if r.doc_id is None else f"x{r.doc_id}") for r in got for c in clash), name
+    docs.limit(0).select(*docs.columns[:5]).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "benchmark.parquet")).write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert cp.run(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_pipeline_edited_copies(spark, tmp_path):
     import corpus_pipeline as cp
 
