@@ -79,9 +79,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     goes to more tasks."""
     pairs = materialize(pairs, "near-pairs")
     rows = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    rows = materialize(rows, "near-asked")
-    if rows.count() <= BROADCAST_ROWS:
-        rows = F.broadcast(rows)
+    asked = materialize(rows, "near-asked")
+    rows = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -104,7 +103,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return many.loc[near, ["a", "b"]]
 
     out = materialize(left.cogroup(right).applyInPandas(meet, "a long, b long"), "near-links")
-    forget(pairs, sets, degree, dealt)
+    forget(pairs, asked, sets, degree, dealt)
     return out
 
 
@@ -133,12 +132,15 @@ def links(texts: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
         drawn = F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), F.col("row").alias("b"), F.col("n").alias("m"), F.col("part").alias("other")))
         mixed = now.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y"), drawn.alias("d")).where("x < y")
         mixed = materialize(mixed.select("shingle", "d.b", "d.m", "d.other"), "near-mixed")
+        spent = [mixed]
         if turn < ROUNDS:
             heavy = materialize(mixed.join(often, "shingle"), "near-mixed")
+            spent.append(heavy)
             pairs = lookup(now.drop("many"), heavy, "shingle", F.col("many") >= total / HEAVY).where((F.col("part") != F.col("other")) & sizes)
             pairs = pairs.select(F.col("row").alias("a"), "b").distinct()
         else:
             now = materialize(now.join(mixed.select("shingle"), "shingle", "left_semi").select("shingle", "row", "n", "part"), "near-open")
+            spent.append(now)
             pairs = now.withColumnRenamed("row", "a").join(now.toDF("shingle", "b", "m", "other"), "shingle")
             pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("part") != F.col("other")) & sizes)
             pairs = pairs.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
@@ -146,6 +148,8 @@ def links(texts: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
             rest = F.ceil(0.8 * F.greatest("n", "m"))
             pairs = pairs.where(9 * (F.col("shared") + rest) >= 4 * (F.col("n") + F.col("m"))).select("a", "b")
         found.append(verified(pairs, texts))
+        forget(*spent)  # the links are written
+    forget(often, kept)
     return reduce(DataFrame.union, found)
 
 
