@@ -1,8 +1,11 @@
 """Graph algorithms on graphs small enough to know the answer."""
 
+import random
+
 import pytest
 
 from lodestone.errors import GraphError
+from lodestone.operators import blocks
 from lodestone.operators.algorithms import dispatch
 from lodestone.sources.graph import EdgePart, NodePart, PropertyGraph
 
@@ -90,3 +93,35 @@ def test_empty(spark):
     for name in ("wcc", "scc", "pageRank", "betweennessCentrality", "closenessCentrality", "degreeCentrality", "triangleCount", "labelPropagation", "louvain"):
         assert call(g, name) == []
     assert call(g, "triangleCount", mode="global") == [(0, 0.0)]
+
+
+def random_graph(spark, directed=True):
+    """60 nodes, parallel edges and loops among them, a node without edges and a bridge to a cycle."""
+    pick = random.Random(5)
+    edges = [(pick.randint(1, 40), pick.randint(1, 40)) for _ in range(120)] + [(7, 50)] + [(i, i + 1) for i in range(50, 59)] + [(59, 50)]
+    return graph(spark, 60, edges, directed), edges
+
+
+def small_blocks(spark, monkeypatch):
+    """No worker may keep an adjacency and the driver may not collect one."""
+    monkeypatch.setattr(blocks, "HELD", 0)
+    monkeypatch.setattr(blocks, "FILE_ROWS", 16)
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda df: pytest.fail("the graph went to the driver"))
+
+
+def depths(edges, s):
+    dist, level = {s: 0}, [s]
+    while level:
+        level = [w for w in {b for a, b in edges if a in level} if w not in dist]
+        dist |= {w: max(dist.values()) + 1 for w in level}
+    return dist
+
+
+def test_closeness_in_blocks(spark, monkeypatch):
+    g, edges = random_graph(spark)
+    kept = call(g, "closenessCentrality", wfImproved=False)
+    small_blocks(spark, monkeypatch)
+    assert call(g, "closenessCentrality", wfImproved=False) == kept
+    for node, score in kept:
+        d = depths(edges, node)
+        assert score == ((len(d) - 1) / sum(d.values()) if len(d) > 1 else 0.0)
