@@ -12,14 +12,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.errors import GraphError
 from lodestone.functions.scalars import ID, IDS, ulid_value
-from lodestone.operators.blocks import Blocks, distances, numbered, renumber
+from lodestone.operators.blocks import Blocks, all_dependencies, distances, numbered, renumber, weighted_dependencies
 from lodestone.operators.components import connected_components
 from lodestone.shared import forget, materialize
 from lodestone.sources.graph import PropertyGraph, is_float, is_int
 
-#: Edges up to which a kernel may hold the whole graph in each worker.
-KERNEL_EDGES = 20_000_000
-
 
 class Args:
     """Checked arguments of one call; unknown ones are ignored."""
@@ -328,20 +325,7 @@ def label_propagation(graph: PropertyGraph, a: Args):
     return now, {"node": ID, "community": ID}
 
 
-# -- kernels that hold the whole graph --------------------------------------------------------------
-
-
-def _csr(graph: PropertyGraph, direction: str, prop: str = ""):
-    """(ids ascending, starts, neighbours, weights) of a graph of at most KERNEL_EDGES edges."""
-    count = sum(p.df.count() for p in graph.edges)
-    if count > KERNEL_EDGES:
-        raise GraphError(f"this algorithm holds the graph in memory; it has {count} edges, over {KERNEL_EDGES}")
-    ids = np.sort(node_ids(graph).toPandas()["node"].to_numpy(dtype=np.int64))
-    adj = weighted(graph, direction, prop).select("node", "nbr", "w").toPandas()
-    src, dst = np.searchsorted(ids, adj["node"].to_numpy(dtype=np.int64)), np.searchsorted(ids, adj["nbr"].to_numpy(dtype=np.int64))
-    order = np.lexsort((dst, src))
-    starts = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(ids)))]).astype(np.int64)
-    return ids, starts, dst[order], adj["w"].to_numpy(dtype=float)[order]
+# -- kernels that read the graph in blocks ------------------------------------------------------------
 
 
 def betweenness(graph: PropertyGraph, a: Args):
@@ -350,67 +334,38 @@ def betweenness(graph: PropertyGraph, a: Args):
     normalized, directed, prop = a.flag("normalized", True), a.flag("directed", True), a.text("weight")
     sample = a.number("sampleSize", 0, 0, whole=True)
     types = {"node": ID, "score": None}
-    ids, starts, nbrs, weights = _csr(graph, "out" if directed else "any", prop)
-    n = len(ids)
+    ids, n = numbered(node_ids(graph))
     if not n:
         return graph.empty("node long, score double"), types
-    shared = graph.spark.sparkContext.broadcast((starts, nbrs, weights if prop else None))
-    sources = list(range(n)) if not sample or sample >= n else list(range(0, n, n // sample))[:sample]
+    adj = weighted(graph, "out" if directed else "any", prop).select("node", "nbr", *(["w"] if prop else []))
+    adj = renumber(adj.where("node <> nbr"), ids)
+    out = Blocks(adj, n)
+    into = out if prop or not directed else Blocks(adj.select(F.col("nbr").alias("node"), F.col("node").alias("nbr")), n)
+    step, count = (n // sample, sample) if sample and sample < n else (1, n)
+    together = max(1, min(64, (1 << 16) // n))  # small graphs; in large ones a source has work enough
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from heapq import heappop, heappush
-
-        starts, nbrs, weights = shared.value
         score = np.zeros(n)
+        degrees = None if prop else (out.degrees(), into.degrees())
         for batch in batches:
-            for s in batch["s"]:
-                sigma, dist, preds, order = np.zeros(n), np.full(n, np.inf), [[] for _ in range(n)], []
-                sigma[s], dist[s] = 1, 0
-                if weights is None:
-                    queue = deque([s])
-                    while queue:
-                        v = queue.popleft()
-                        order.append(v)
-                        for w in nbrs[starts[v] : starts[v + 1]]:
-                            if dist[w] == np.inf:
-                                dist[w] = dist[v] + 1
-                                queue.append(w)
-                            if dist[w] == dist[v] + 1:
-                                sigma[w] += sigma[v]
-                                preds[w].append(v)
+            sources = batch["id"].to_numpy()
+            for first in range(0, len(sources), together):
+                some = sources[first : first + together]
+                if prop:
+                    for s in some.tolist():
+                        score += weighted_dependencies(out, s)
                 else:
-                    heap, done = [(0.0, s)], np.zeros(n, bool)
-                    while heap:
-                        d, v = heappop(heap)
-                        if done[v]:
-                            continue
-                        done[v] = True
-                        order.append(v)
-                        for k in range(starts[v], starts[v + 1]):
-                            w, new = nbrs[k], d + max(weights[k], 0.0)
-                            if new < dist[w]:
-                                dist[w], sigma[w], preds[w] = new, sigma[v], [v]
-                                heappush(heap, (new, w))
-                            elif new == dist[w] and not done[w] and w != s:
-                                sigma[w] += sigma[v]
-                                preds[w].append(v)
-                delta = np.zeros(n)
-                for w in reversed(order):
-                    for v in preds[w]:
-                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                    if w != s:
-                        score[w] += delta[w]
+                    score += all_dependencies(out, into, degrees, some)
         found = np.flatnonzero(score)
         yield pd.DataFrame({"i": found, "score": score[found]})
 
-    tasks = min(len(sources), 4 * graph.spark.sparkContext.defaultParallelism)
-    rows = graph.spark.createDataFrame(pd.DataFrame({"s": sources})).repartition(tasks)
-    total = rows.mapInPandas(go, "i long, score double").groupBy("i").agg(F.sum("score").alias("score"))
-    factor = n / len(sources)  # both directions of a pair count where edges aren't directed
+    tasks = min(-(-count // together), 8 * graph.spark.sparkContext.defaultParallelism)
+    total = graph.spark.range(0, count * step, step, tasks).mapInPandas(go, "i long, score double")
+    total = total.groupBy("i").agg(F.sum("score").alias("score"))
+    factor = n / count  # both directions of a pair count where edges aren't directed
     if normalized and n > 2:
         factor *= (1.0 if directed else 2.0) / ((n - 1) * (n - 2))
-    named = graph.spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "node": ids}))
-    return named.join(total, "i", "left").select("node", (F.coalesce("score", F.lit(0.0)) * factor).alias("score")), types
+    return ids.join(total, "i", "left").select("node", (F.coalesce("score", F.lit(0.0)) * factor).alias("score")), types
 
 
 def closeness(graph: PropertyGraph, a: Args):

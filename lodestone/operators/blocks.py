@@ -12,8 +12,8 @@ from lodestone.shared import materialize
 
 #: Rows of a file, and bytes of one adjacency up to which a worker keeps it; beyond, files are read anew at each use.
 FILE_ROWS, HELD = 1_000_000, 1 << 28
-#: Edges that one step of a kernel takes at most.
-STEP = 1 << 20
+#: Edges that one step of a kernel takes at most, and edges on shortest paths that several sources may hold together.
+STEP, PATHS = 1 << 20, 1 << 23
 
 _held: dict[tuple, tuple] = {}
 
@@ -163,3 +163,114 @@ def distances(into: Blocks, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray
         found, total = found + count, total + depth * count
         front, new = new, front
     return found[: len(sources)], total[: len(sources)]
+
+
+class TooMany(Exception):
+    """The shortest paths of several sources take more memory than a kernel should."""
+
+
+def sums(at: np.ndarray, value: np.ndarray, total: np.ndarray) -> None:
+    """Add each value at its place of ``total``."""
+    if len(at) > len(total) // 8:
+        total += np.bincount(at, value, len(total))
+    else:
+        np.add.at(total, at, value)
+
+
+def dependencies(out: Blocks, into: Blocks, degrees: tuple[np.ndarray, np.ndarray], sources: np.ndarray) -> np.ndarray:
+    """Brandes' dependencies of the nodes, summed over ``sources``, by hops. All sources go level by level together, each
+    with its own keys (place of the source * n + node); a level takes the edges out of it or those into what is not yet
+    reached, whichever are fewer."""
+    n, k = out.n, len(sources)
+    size = n * k
+    start = np.arange(k) * n + sources
+    state, place = np.zeros(size, np.uint8), np.zeros(size, np.int64)  # 0: not reached, 1: reached, 2: the last level
+    sigma = np.zeros(size)
+    state[start], sigma[start] = 2, 1
+    front, levels, held = start, [], 0
+    while True:
+        node, pull = front % n if k > 1 else front, False
+        rows, edges = front, int(degrees[0][node].sum())
+        if edges > size // 4:
+            left = np.flatnonzero(state == 0)
+            low = left % n if k > 1 else left
+            if int(degrees[1][low].sum()) < edges:
+                rows, node, pull = left, low, True
+        base, found = rows - node, []
+        for which, nbr, _ in (into if pull else out).expand(node):
+            end = base[which] + nbr if k > 1 else nbr
+            keep = state[end] == (2 if pull else 0)
+            found.append((which[keep], end[keep]))
+        which, end = (np.concatenate(x) for x in zip(*found)) if len(found) > 1 else found[0] if found else (front[:0], front[:0])
+        held += len(end)
+        if held > PATHS and k > 1:
+            raise TooMany
+        if not len(end):
+            break
+        if pull:
+            got = np.bincount(which, sigma[end], len(rows))
+            sigma[rows] += got
+            after = rows[got > 0]
+            state[front] = 1
+            state[after] = 2
+        else:
+            sums(end, sigma[front][which], sigma)
+            state[front] = 1
+            state[end] = 2
+            if len(end) > size // 8:
+                after = np.flatnonzero(state == 2)
+            else:
+                order = np.arange(len(end))
+                place[end] = order
+                after = end[place[end] == order]  # each once
+        levels.append((pull, rows, which, end, after))
+        front = after
+    delta, share = np.zeros(size), np.zeros(size)
+    while levels:  # share: (1 + dependency) / paths, of the later level
+        pull, rows, which, end, after = levels.pop()
+        delta[after] *= sigma[after]
+        share[after] = (1 + delta[after]) / sigma[after]
+        if pull:
+            sums(end, share[rows][which], delta)
+        else:
+            delta[rows] += np.bincount(which, share[end], len(rows))
+    delta[start] = 0
+    return delta.reshape(k, n).sum(axis=0)
+
+
+def all_dependencies(out: Blocks, into: Blocks, degrees: tuple[np.ndarray, np.ndarray], sources: np.ndarray) -> np.ndarray:
+    try:
+        return dependencies(out, into, degrees, sources)
+    except TooMany:
+        half = len(sources) // 2
+        return all_dependencies(out, into, degrees, sources[:half]) + all_dependencies(out, into, degrees, sources[half:])
+
+
+def weighted_dependencies(out: Blocks, s: int) -> np.ndarray:
+    """Those of one source by Dijkstra's order; a negative weight counts as zero."""
+    from heapq import heappop, heappush
+
+    n = out.n
+    score, sigma, dist, done = np.zeros(n), np.zeros(n), np.full(n, np.inf), np.zeros(n, bool)
+    preds, order, heap = {s: []}, [], [(0.0, s)]
+    sigma[s], dist[s] = 1, 0
+    while heap:
+        d, v = heappop(heap)
+        if done[v]:
+            continue
+        done[v] = True
+        order.append(v)
+        nbrs, weights = out.row(v)
+        for w, x in zip(nbrs.tolist(), weights.tolist()):
+            new = d + max(x, 0.0)
+            if new < dist[w]:
+                dist[w], sigma[w], preds[w] = new, sigma[v], [v]
+                heappush(heap, (new, w))
+            elif new == dist[w] and not done[w] and w != s:
+                sigma[w] += sigma[v]
+                preds[w].append(v)
+    for w in reversed(order):
+        for v in preds[w]:
+            score[v] += sigma[v] / sigma[w] * (1 + score[w])
+    score[s] = 0
+    return score

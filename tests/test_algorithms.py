@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lodestone.errors import GraphError
@@ -125,3 +126,49 @@ def test_closeness_in_blocks(spark, monkeypatch):
     for node, score in kept:
         d = depths(edges, node)
         assert score == ((len(d) - 1) / sum(d.values()) if len(d) > 1 else 0.0)
+
+
+def brandes(edges, n):
+    """Betweenness by the definition: shares of shortest paths, each parallel edge a path of its own."""
+    paths = {}  # number of shortest paths and their length
+    for s in range(1, n + 1):
+        d = depths(edges, s)
+        count = {s: 1}
+        for v in sorted(d, key=d.get)[1:]:
+            count[v] = sum(count[a] for a, b in edges if b == v and a in d and d[a] == d[v] - 1)
+        paths[s] = (d, count)
+    score = dict.fromkeys(range(1, n + 1), 0.0)
+    for s, (d, count) in paths.items():
+        for v in d:
+            dv, cv = paths[v]
+            for t in dv:
+                if s != v != t != s and d[v] + dv[t] == d[t]:
+                    score[v] += count[v] * cv[t] / count[t]
+    return score
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_betweenness_in_blocks(spark, monkeypatch, directed):
+    g, edges = random_graph(spark, directed)
+    both = edges if directed else edges + [(b, a) for a, b in edges if a != b]
+    want = brandes([e for e in both if e[0] != e[1]], 60)
+    kept = dict(call(g, "betweennessCentrality", normalized=False, directed=directed))
+    assert all(abs(kept[v] - want[v]) < 1e-9 for v in want)
+    small_blocks(spark, monkeypatch)
+    read = dict(call(g, "betweennessCentrality", normalized=False, directed=directed))
+    by_weight = dict(call(g, "betweennessCentrality", normalized=False, directed=directed, weight="w"))
+    assert all(abs(read[v] - want[v]) < 1e-9 and abs(by_weight[v] - want[v]) < 1e-9 for v in want)
+
+
+def test_betweenness_shares_memory(monkeypatch, spark):
+    """Sources whose paths don't fit together are halved."""
+    g, edges = random_graph(spark)
+    adj = spark.createDataFrame([e for e in edges if e[0] != e[1]], "node long, nbr long")
+    out, into = blocks.Blocks(adj, 61), blocks.Blocks(adj.select(adj.nbr.alias("node"), adj.node.alias("nbr")), 61)
+    args = out, into, (out.degrees(), into.degrees()), np.arange(61)
+    want = blocks.all_dependencies(*args)
+    monkeypatch.setattr(blocks, "PATHS", 10)
+    monkeypatch.setattr(blocks, "STEP", 3)
+    with pytest.raises(blocks.TooMany):
+        blocks.dependencies(*args)
+    assert np.allclose(blocks.all_dependencies(*args), want)
