@@ -20,6 +20,8 @@ from lodestone.sources.graph import TAGGED, PropertyGraph, is_float, is_int
 #: Hops up to which a bounded path is one lazy plan; longer and unbounded paths run hop by hop.
 LAZY_HOPS = 8
 WALK_CAP = 25
+#: Column with the number of rows that one row stands for.
+TIMES = "__times"
 
 
 @dataclass
@@ -220,6 +222,7 @@ class Compiler:
     def __init__(self, graph: PropertyGraph, params: dict[str, Any] | None = None):
         self.graph, self.params, self.spark = graph, params or {}, graph.spark
         self.fresh = count()
+        self.read: set[str] | None = None  # where only counts and extremes of rows are asked for: the variables they need
 
     def expressions(self, scope, safe=False, known=None) -> Expressions:
         return Expressions(scope, self.params, safe, known)
@@ -232,6 +235,7 @@ class Compiler:
             for f in frames[1:]:
                 out = out.unionByName(f, allowMissingColumns=True)
             return out if stmt.all else out.distinct()
+        self.read = self.read_by(stmt)
         frame, scope = self.bindings(stmt)
         if stmt.with_:
             frame, scope = self.with_clause(stmt.with_, frame, scope)
@@ -300,10 +304,57 @@ class Compiler:
     # -- patterns ---------------------------------------------------------------------------------
     def match(self, patterns, mode, frame, scope, needs, seeds=None) -> tuple[DataFrame, dict[str, Sym]]:
         scope = dict(scope)
-        for p in patterns:
-            frame = self.pattern(p, mode, frame, scope, needs, seeds or {})
+        for k, p in enumerate(patterns):
+            own = {x.var for x in walk(p) if isinstance(x, (A.NodePattern, A.EdgePattern)) and x.var}
+            shared = [v for v in scope if v in own]
+            later = None if self.read is None else self.read | {x.var for x in walk(patterns[k + 1 :]) if isinstance(x, (A.NodePattern, A.EdgePattern))}
+            few = later is not None and own & later <= set(shared)
+            if frame is None or not shared or any(scope[v].kind != "node" for v in shared) or any(e.quantifier for e, _ in p.steps) or not few and p.start.var in shared:
+                frame = self.pattern(p, mode, frame, scope, needs, seeds or {})
+                continue
+            # on its own, so that all its labels hold before it meets the other rows
+            inner: dict[str, Sym] = {}
+            right = self.pattern(p, mode, None, inner, dict(needs) | {v: set() for v in shared}, seeds or {})
+            right = right.drop(*[c for v in shared for c in inner[v].columns()[1:]])  # read by its own conditions only
+            inner |= {v: Sym("node", inner[v].id) for v in shared}
+            if later is not None:
+                frame, scope = self.squeeze(frame, scope, later | set(shared), shared)
+                right, inner = self.squeeze(right, inner, later | set(shared), shared)
+            tag = f"__m{next(self.fresh)}"
+            for v in shared:
+                right = right.withColumnRenamed(inner[v].id, inner[v].id + tag)
+            if TIMES in right.columns:
+                right = right.withColumnRenamed(TIMES, TIMES + tag)
+            condition = F.lit(True)
+            for v in shared:
+                condition = condition & (F.col(f"`{scope[v].id}`") == F.col(f"`{inner[v].id}{tag}`"))
+            frame = frame.join(right, condition).drop(*[inner[v].id + tag for v in shared])
+            if TIMES + tag in frame.columns:
+                both = F.col(TIMES) * F.col(TIMES + tag) if TIMES in frame.columns else F.col(TIMES + tag)
+                frame = frame.withColumn(TIMES, both).drop(TIMES + tag)
+            scope |= {v: s for v, s in inner.items() if v not in scope}
         return frame, scope
 
+    @staticmethod
+    def read_by(q: A.Query) -> set[str] | None:
+        """The variables that WHERE and RETURN read, if all that RETURN asks of the rows are counts and extremes: then rows
+        that agree in these may go as one with their number."""
+        if q.with_ or q.optionals or q.optional_only or q.returns is None or q.returns.star:
+            return None
+        calls = [x for x in walk(q.returns) if isinstance(x, A.Call) and (x.name in AGGREGATES or x.star)]
+        if not calls or any(x.name not in ("count", "min", "max") for x in calls):
+            return None
+        return {x.name if isinstance(x, A.Var) else x.var for y in (q.returns, q.where) for x in walk(y) if isinstance(x, (A.Var, A.Prop))}
+
+    @staticmethod
+    def squeeze(frame: DataFrame, scope: dict[str, Sym], later: set[str], shared: list[str]) -> tuple[DataFrame, dict[str, Sym]]:
+        """One row with its number in TIMES for each of the shared nodes, if nothing else is read later."""
+        kept = {v: s for v, s in scope.items() if v in later}
+        if len(kept) == len(scope) or set(kept) - set(shared):
+            return frame, scope
+        times = F.sum(TIMES) if TIMES in frame.columns else F.count(F.lit(1))
+        return frame.groupBy(*[F.col(f"`{c}`") for s in kept.values() for c in s.columns()]).agg(times.alias(TIMES)), kept
+
     def constrain(self, df: DataFrame, props, columns: dict[str, tuple[str, Any]]) -> DataFrame:
         ex = self.expressions({}, safe=True)
         for key, value in props:
@@ -517,7 +568,7 @@ class Compiler:
             if c.star or not c.args:
                 if c.name != "count":
                     raise GraphError(f"{c.name}() needs an argument")
-                aggs.append(F.count(F.lit(1)).alias(out))
+                aggs.append((F.coalesce(F.sum(TIMES), F.lit(0)) if TIMES in frame.columns else F.count(F.lit(1))).alias(out))
                 known[c] = Val(F.col(out), T.LongType())
                 continue
             if any(has_aggregate(a) for a in c.args):
@@ -525,9 +576,11 @@ class Compiler:
             v = ex.value(c.args[0])
             args.append((v.col.cast("string") if v.type == NULL else v.col).alias(f"__arg{k}"))
             f, t = self.aggregate_of(c, F.col(f"__arg{k}"), v.type)
+            if c.name == "count" and not c.distinct and TIMES in frame.columns:
+                f = F.coalesce(F.sum(F.when(F.col(f"__arg{k}").isNotNull(), F.col(TIMES))), F.lit(0))
             aggs.append(f.alias(out))
             known[c] = Val(F.col(out), t)
-        grouped = frame.select(*keys, *args) if args or keys else frame
+        grouped = frame.select(*keys, *args, *([TIMES] if TIMES in frame.columns else [])) if args or keys else frame
         names = grouped.columns[: len(keys)]
         grouped = grouped.groupBy(*names).agg(*aggs) if names else grouped.agg(*aggs)
         post = self.expressions(ex.scope, known=known)

@@ -5,7 +5,8 @@ import pytest
 from lodestone.errors import ConstraintViolation, GraphError, ParseError
 from lodestone.functions.scalars import ulid_value
 from lodestone.plans.parser import parse
-from lodestone.session import empty_graph
+from lodestone.session import GraphSession, empty_graph
+from lodestone.sources.graph import GraphBuilder
 
 
 @pytest.fixture()
@@ -268,3 +269,47 @@ def test_stream(spark, tmp_path, s):
     stream = spark.readStream.schema("k long, sq long").parquet(str(tmp_path / "in"))
     stream_nodes(stream, s, "S", "k", str(tmp_path / "cp")).awaitTermination(120)
     assert rows(s, "MATCH (n:S) RETURN count(*), sum(n.sq)") == [(5, 30)]
+
+
+def trade(spark, customers, suppliers, nations):
+    """Customers and suppliers in nations, both by an edge of the same label."""
+    n, c, s = (spark.range(k).withColumnRenamed("id", "k").selectExpr("k", "k as v", f"k % {nations} as n") for k in (nations, customers, suppliers))
+    b = GraphBuilder(spark).node_table("Nation", n, "k").node_table("Customer", c, "k").node_table("Supplier", s, "k")
+    b.edge_table("IN", c, ("Customer", "k"), ("Nation", "n")).edge_table("IN", s, ("Supplier", "k"), ("Nation", "n"))
+    return GraphSession(b.build())
+
+
+def test_shared_variables_count_without_pairs(spark):
+    s = trade(spark, 200_000, 100_000, 1)
+    for text in (
+        "MATCH (c:Customer)-[:IN]->(n:Nation), (s:Supplier)-[:IN]->(n) RETURN n.v AS n, count(*) AS k",
+        "MATCH (n:Nation)<-[:IN]-(c:Customer), (n)<-[:IN]-(s:Supplier) RETURN n.v AS n, count(*) AS k",
+    ):
+        df = s.query(text)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Aggregate [") == 3, plan  # before the patterns meet, and after
+        assert [tuple(r) for r in df.collect()] == [(0, 20_000_000_000)]
+
+
+@pytest.mark.parametrize("patterns", [
+    "(c:Customer)-[:IN]->(n:Nation), (s:Supplier)-[:IN]->(n)",
+    "(c:Customer)-[:IN]->(n:Nation {v: 1}), (s:Supplier)-[:IN]->(n {v: 1})",
+    "(n:Nation)<-[:IN]-(c), (n)<-[:IN]-(s:Supplier), (d:Customer)-[:IN]->(n)",
+    "(c:Customer)-[:IN]->(n:Nation), (s)-[:IN]->(n)<-[:IN]-(c:Customer)",
+    "(c:Customer)-[e:IN]->(n), (s:Supplier)-[:IN]-(n), (n)-[:IN*1..2]-(d)",
+])
+def test_shared_variables_agree_with_rows(spark, patterns):
+    s = trade(spark, 7, 5, 3)
+    where = "WHERE c.v > 1 AND n.v < 2" if "(c:Customer)" in patterns else "WHERE n.v < 2"
+    every = rows(s, f"MATCH {patterns} {where} RETURN id(n), n.v, c.v, s.v")
+    out = {}
+    for _, n, _, v in every:
+        got = out.setdefault(n, [0, 0, set()])
+        got[0], got[1] = got[0] + 1, got[1] + (v is not None)
+        got[2].add(v)
+    assert out
+    want = sorted((n, k, some, len(v - {None})) for n, (k, some, v) in out.items())
+    assert sorted(rows(s, f"MATCH {patterns} {where} RETURN n.v, count(*), count(s.v), count(DISTINCT s.v)")) == want
+    assert sorted(rows(s, f"MATCH {patterns} {where} RETURN n.v, count(*) AS k ORDER BY k")) == sorted(x[:2] for x in want)
+    assert rows(s, f"MATCH {patterns} {where} RETURN count(*)") == [(len(every),)]
+    assert rows(s, f"MATCH {patterns} WHERE n.v > 99 RETURN count(*), count(n), max(n.v)") == [(0, 0, None)]
