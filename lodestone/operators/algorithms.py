@@ -8,11 +8,11 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lodestone.errors import GraphError
 from lodestone.functions.scalars import ID, IDS, ulid_value
-from lodestone.operators.blocks import Blocks, all_dependencies, distances, numbered, renumber, weighted_dependencies
+from lodestone.operators.blocks import STEP, Blocks, alike, all_dependencies, distances, numbered, renumber, weighted_dependencies
 from lodestone.operators.components import connected_components
 from lodestone.shared import forget, materialize
 from lodestone.sources.graph import PropertyGraph, is_float, is_int
@@ -294,18 +294,41 @@ def triangles(graph: PropertyGraph, a: Args):
 
 
 def jaccard(graph: PropertyGraph, a: Args):
+    """A task counts what its rows share with all others from sorted files, so no pair but the best is written."""
     only, direction, top = a.node("node"), a.direction("any"), a.number("topK", 10, 1, whole=True)
     method = a.text("method", "jaccard", ("jaccard", "overlap", "commonNeighbors"))
-    adj = materialize(both_ways(graph, direction), "neighbours")
-    deg = adj.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    left = adj if only is None else adj.where(F.col("node") == only)
-    pair = left.toDF("node1", "nbr").join(adj.toDF("node2", "nbr"), "nbr").where("node1 <> node2")
-    pair = pair.groupBy("node1", "node2").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    pair = pair.join(deg.toDF("node1", "d1"), "node1").join(deg.toDF("node2", "d2"), "node2")
-    score = {"jaccard": F.col("c") / (F.col("d1") + F.col("d2") - F.col("c")), "overlap": F.col("c") / F.least("d1", "d2"), "commonNeighbors": F.col("c")}[method]
-    pair = pair.select("node1", "node2", score.alias("score"))
-    best = Window.partitionBy("node1").orderBy(F.desc("score"), "node2")
-    return pair.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top).drop("_r"), {"node1": ID, "node2": ID, "score": None}
+    types = {"node1": ID, "node2": ID, "score": None}
+    nodes = graph.adjacency(None, direction)[0]
+    ids, n = numbered(nodes.select("node").union(nodes.select("nbr")).distinct())
+    first, end = 0, n
+    if only is not None:
+        own = ids.where(F.col("node") == only).head()
+        first, end = (own["i"], own["i"] + 1) if own else (0, 0)
+    if first == end:
+        return graph.empty("node1 long, node2 long, score double"), types
+    adj = renumber(both_ways(graph, direction), ids)
+    left = Blocks(adj, n)
+    right = left if direction == "any" else Blocks(adj.select(F.col("nbr").alias("node"), F.col("node").alias("nbr")), n)
+    width = max(1, min(1024, -(-(end - first) // (16 * graph.spark.sparkContext.defaultParallelism))))
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        degree, common = left.degrees(), right.degrees()
+        for batch in batches:
+            for start in batch["id"]:
+                rows = np.arange(start, min(end, start + width))
+                work = np.zeros(len(rows))  # entries that each row meets
+                for which, nbr, _ in left.expand(rows):
+                    work += np.bincount(which, common[nbr], len(rows))
+                part = np.cumsum(work) // STEP
+                for some in np.split(rows, np.flatnonzero(np.diff(part)) + 1):
+                    found = list(alike(left, right, degree, some, method, top))
+                    if found:
+                        yield pd.DataFrame(dict(zip(("i", "j", "score"), map(np.concatenate, zip(*found)))))
+
+    best = graph.spark.range(first, end, width, min(-(-(end - first) // width), 64 * graph.spark.sparkContext.defaultParallelism))
+    best = best.mapInPandas(go, "i long, j long, score double")
+    best = best.join(ids.toDF("node1", "i"), "i").join(ids.toDF("node2", "j"), "j")
+    return best.select("node1", "node2", "score"), types
 
 
 def label_propagation(graph: PropertyGraph, a: Args):

@@ -274,3 +274,44 @@ def weighted_dependencies(out: Blocks, s: int) -> np.ndarray:
             score[v] += sigma[v] / sigma[w] * (1 + score[w])
     score[s] = 0
     return score
+
+
+def counted(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys (below ``size``), ascending, and how often each stands."""
+    if size > max(8 * len(keys), 1 << 16):
+        return np.unique(keys, return_counts=True)
+    count = np.bincount(keys, minlength=size)
+    found = np.flatnonzero(count)
+    return found, count[found]
+
+
+def alike(left: Blocks, right: Blocks, degree: np.ndarray, rows: np.ndarray, method: str, top: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(number, number, score) of the ``top`` other rows of ``left`` that share most neighbours with each of ``rows``, equal
+    scores by number. ``right`` has the rows by neighbour."""
+    n, base = left.n, int(rows[0])
+    which, nbr = (np.concatenate(x) for x in zip(*[(w, m) for w, m, _ in left.expand(rows)], (rows[:0], rows[:0])))
+    merged: list[tuple[np.ndarray, np.ndarray]] = []
+    for entry, other, _ in right.expand(nbr):  # a step at a time: what a row shares is summed up over steps
+        merged.append(counted(which[entry] * n + other, len(rows) * n))
+        if len(merged) > 1 and sum(len(k) for k, _ in merged) > 4 * STEP:
+            merged = [merge(merged)]
+    keys, count = merge(merged) if merged else (rows[:0], rows[:0])
+    row, other = np.divmod(keys, n)
+    keep = row + base != other
+    row, other, c = row[keep], other[keep], count[keep].astype(float)
+    d1, d2 = degree[row + base], degree[other]
+    score = c / (d1 + d2 - c) if method == "jaccard" else c / np.minimum(d1, d2) if method == "overlap" else c
+    ends = np.searchsorted(row, np.arange(len(rows) + 1))
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        if b > a:
+            own = score[a:b]
+            some = np.arange(b - a) if b - a <= top else np.flatnonzero(own >= np.partition(own, b - a - top)[b - a - top])
+            some = some[np.lexsort((other[a:b][some], -own[some]))][:top]
+            yield row[a:b][some] + base, other[a:b][some], own[some]
+
+
+def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)

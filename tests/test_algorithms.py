@@ -172,3 +172,41 @@ def test_betweenness_shares_memory(monkeypatch, spark):
     with pytest.raises(blocks.TooMany):
         blocks.dependencies(*args)
     assert np.allclose(blocks.all_dependencies(*args), want)
+
+
+@pytest.mark.parametrize("method", ["jaccard", "overlap", "commonNeighbors"])
+@pytest.mark.parametrize("direction", ["any", "out", "in"])
+def test_similarity_in_blocks(spark, monkeypatch, method, direction):
+    g, edges = random_graph(spark)
+    arcs = {(a, b) for a, b in edges if a != b}
+    arcs = {"out": arcs, "in": {(b, a) for a, b in arcs}, "any": arcs | {(b, a) for a, b in arcs}}[direction]
+    near = {v: {b for a, b in arcs if a == v} for v, _ in arcs}
+    score = {"jaccard": lambda x, y: len(x & y) / len(x | y), "overlap": lambda x, y: len(x & y) / min(len(x), len(y)), "commonNeighbors": lambda x, y: float(len(x & y))}[method]
+    want = []
+    for v in near:
+        best = sorted((-score(near[v], near[w]), w) for w in near if w != v and near[v] & near[w])[:3]
+        want += [(v, w, -x) for x, w in best]
+    assert call(g, "jaccardSimilarity", topK=3, method=method, direction=direction) == sorted(want)
+    small_blocks(spark, monkeypatch)
+    assert call(g, "jaccardSimilarity", topK=3, method=method, direction=direction) == sorted(want)
+    assert call(g, "jaccardSimilarity", topK=3, method=method, direction=direction, node=7) == sorted(x for x in want if x[0] == 7)
+    assert call(g, "jaccardSimilarity", node=99) == []
+
+
+def test_similarity_writes_no_pairs(spark):
+    """3000 nodes about two hubs: nine million pairs share a hub, none of them goes through a shuffle."""
+    g = graph(spark, 3002, [(i, h) for i in range(1, 3001) for h in (3001, 3002)])
+    df, _ = dispatch(g, "jaccardSimilarity", {"topK": 1})
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "MapInPandas" in plan
+    got = {r["node1"]: (r["node2"], r["score"]) for r in df.collect()}
+    assert len(got) == 3002 and got[1] == (2, 1.0) and got[5] == (1, 1.0) and got[3001] == (3002, 1.0)
+
+
+def test_counts_over_steps(monkeypatch, spark):
+    adj = spark.createDataFrame([(v, w) for v in range(40) for w in range(40) if (v * w) % 3 != 1 and v != w], "node long, nbr long")
+    left = blocks.Blocks(adj, 40)
+    args = left, left, left.degrees(), np.arange(3, 9), "jaccard", 5
+    want = [[x.tolist() for x in r] for r in blocks.alike(*args)]
+    monkeypatch.setattr(blocks, "STEP", 7)
+    assert [[x.tolist() for x in r] for r in blocks.alike(*args)] == want
