@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import Any
 
@@ -14,6 +14,7 @@ from lodestone.errors import GraphError
 from lodestone.functions.scalars import ID, IDS, ulid_value
 from lodestone.operators.blocks import STEP, Blocks, alike, all_dependencies, distances, numbered, renumber, weighted_dependencies
 from lodestone.operators.components import connected_components
+from lodestone.operators.flow import maximum_flow
 from lodestone.shared import forget, materialize
 from lodestone.sources.graph import PropertyGraph, is_float, is_int
 
@@ -525,8 +526,8 @@ def louvain(graph: PropertyGraph, a: Args):
 
 
 def max_flow(graph: PropertyGraph, a: Args):
-    """Edmonds-Karp over the nodes that the source reaches and that reach the sink (found by DataFrame search);
-    augmenting paths depend on each other, so that part is one task."""
+    """Dinic over the nodes that the source reaches and that reach the sink. Each round depends on the one before, so it is
+    one task, which reads the edges from sorted files and keeps those of these nodes."""
     source, sink, prop = a.node("source", True), a.node("sink", True), a.text("capacity", "capacity")
     if source == sink:
         raise GraphError("maxFlow: source and sink are the same")
@@ -534,47 +535,25 @@ def max_flow(graph: PropertyGraph, a: Args):
     cap = F.lit(0.0)
     if is_int(types[prop]) or is_float(types[prop]):
         cap = F.coalesce(F.col(f"`{prop}`").cast("double"), cap)
-    edges = edges.where("src <> dst").select("src", "dst", cap.alias("c"), "directed")
-    if not edges.where("c < 0").isEmpty():
+    edges = edges.where("src <> dst").select("src", "dst", cap.alias("w"), "directed")
+    if not edges.where("w < 0").isEmpty():
         raise GraphError("maxFlow: negative capacity")
-    known = {r[0] for r in node_ids(graph).where(F.col("node").isin(source, sink)).collect()}
+    ids, n = numbered(node_ids(graph))
+    known = dict(map(tuple, ids.where(F.col("node").isin(source, sink)).collect()))
     if len(known) < 2:
         raise GraphError("maxFlow: no such node")
-    edges = edges.select("src", "dst", "c").union(edges.where("not directed").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "c"))
-    edges = edges.groupBy("src", "dst").agg(F.sum("c").alias("c")).where("c > 0")
-    between = reach(graph, source, "out").select("node").join(reach(graph, sink, "in").select("node"), "node")
-    edges = edges.join(between.withColumnRenamed("node", "src"), "src", "left_semi").join(between.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    edges = edges.select("src", "dst", "w").union(edges.where("not directed").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    edges = edges.groupBy(F.col("src").alias("node"), F.col("dst").alias("nbr")).agg(F.sum("w").alias("w")).where("w > 0")
+    adj = renumber(edges, ids)
+    out, into = Blocks(adj, n), Blocks(adj.select(F.col("nbr").alias("node"), F.col("node").alias("nbr")), n)
 
-    def go(rows: pd.DataFrame) -> pd.DataFrame:
-        left: dict = defaultdict(dict)
-        for u, v, c in zip(rows["src"], rows["dst"], rows["c"]):
-            left[u][v] = left[u].get(v, 0.0) + c
-            left[v].setdefault(u, 0.0)
-        flow = 0.0
-        while True:
-            come, queue = {source: None}, deque([source])
-            while queue and sink not in come:
-                u = queue.popleft()
-                for v in sorted(left[u]):
-                    if v not in come and left[u][v] > 1e-12:
-                        come[v] = u
-                        queue.append(v)
-            if sink not in come:
-                return pd.DataFrame({"maxFlow": [flow]})
-            path, v = [], sink
-            while come[v] is not None:
-                path.append((come[v], v))
-                v = come[v]
-            push = min(left[u][v] for u, v in path)
-            for u, v in path:
-                left[u][v] -= push
-                left[v][u] = left[v].get(u, 0.0) + push
-            flow += push
-
-    got = edges.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(go, "maxFlow double")
-    out = graph.spark.range(1).join(got, F.lit(True), "left")
-    ends = [F.lit(x).cast("long").alias(n) for x, n in ((source, "source"), (sink, "sink"))]
-    return out.select(*ends, F.coalesce("maxFlow", F.lit(0.0)).alias("maxFlow")), {"source": ID, "sink": ID, "maxFlow": None}
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            yield pd.DataFrame({"maxFlow": [maximum_flow(out, into, known[source], known[sink])]})
+
+    got = graph.spark.range(0, 1, 1, 1).mapInPandas(go, "maxFlow double")
+    ends = [F.lit(x).cast("long").alias(name) for x, name in ((source, "source"), (sink, "sink"))]
+    return got.select(*ends, "maxFlow"), {"source": ID, "sink": ID, "maxFlow": None}
 
 
 ALGORITHMS = {

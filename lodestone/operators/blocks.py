@@ -18,6 +18,11 @@ STEP, PATHS = 1 << 20, 1 << 23
 _held: dict[tuple, tuple] = {}
 
 
+def release() -> None:
+    """Let go of the adjacencies that this worker keeps."""
+    _held.clear()
+
+
 def numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
     """(``node``, ``i``): numbers from 0 without gaps in the order of ids, and how many there are."""
     at = nodes.select("node").repartitionByRange("node").sortWithinPartitions("node")

@@ -1,6 +1,7 @@
 """Graph algorithms on graphs small enough to know the answer."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -210,3 +211,35 @@ def test_counts_over_steps(monkeypatch, spark):
     want = [[x.tolist() for x in r] for r in blocks.alike(*args)]
     monkeypatch.setattr(blocks, "STEP", 7)
     assert [[x.tolist() for x in r] for r in blocks.alike(*args)] == want
+
+
+def cut(edges, s, t):
+    """The least capacity over all cuts."""
+    inner = sorted({v for a, b, _ in edges for v in (a, b)} - {s, t})
+    sides = ({s} | {v for k, v in enumerate(inner) if m >> k & 1} for m in range(1 << len(inner)))
+    return min(sum(w for a, b, w in edges if a in side and b not in side) for side in sides)
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_flow_is_the_least_cut(spark, monkeypatch, directed):
+    pick = random.Random(3)
+    for seed in range(2):
+        edges = [(pick.randint(1, 10), pick.randint(1, 10), pick.randint(1, 9) / 4) for _ in range(26 if seed else 18)]
+        both = edges if directed else edges + [(b, a, w) for a, b, w in edges]
+        g = graph(spark, 12, edges, directed)
+        assert call(g, "maxFlow", source=1, sink=10, capacity="w") == [(1, 10, cut(both, 1, 10))]
+        with monkeypatch.context() as m:
+            small_blocks(spark, m)
+            assert call(g, "maxFlow", source=1, sink=10, capacity="w") == [(1, 10, cut(both, 1, 10))]
+    assert call(g, "maxFlow", source=1, sink=12, capacity="w") == [(1, 12, 0.0)]
+    assert call(graph(spark, 3, []), "maxFlow", source=1, sink=2, capacity="w") == [(1, 2, 0.0)]
+
+
+def test_flow_of_many_paths(spark):
+    """20,000 paths side by side: one search for each would read 60,000 edges 20,000 times."""
+    k = 20_000
+    edges = [e for i in range(3, k + 3) for e in ((1, i, i % 7 + 1), (i, i + k, 3), (i + k, 2, 9))]
+    want = float(sum(min(i % 7 + 1, 3) for i in range(3, k + 3)))
+    began = time.monotonic()
+    assert call(graph(spark, 2 * k + 2, edges), "maxFlow", source=1, sink=2, capacity="w") == [(1, 2, want)]
+    assert time.monotonic() - began < 60
