@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodestone.errors import GraphError
 from lodestone.functions.scalars import ID, IDS, ulid_value
-from lodestone.operators.blocks import STEP, Blocks, alike, all_dependencies, distances, numbered, renumber, weighted_dependencies
+from lodestone.operators.blocks import PATHS, STEP, Blocks, alike, all_dependencies, distances, numbered, renumber, weighted_dependencies
 from lodestone.operators.components import connected_components
 from lodestone.operators.flow import maximum_flow
 from lodestone.shared import forget, materialize
@@ -366,7 +366,7 @@ def betweenness(graph: PropertyGraph, a: Args):
     out = Blocks(adj, n)
     into = out if prop or not directed else Blocks(adj.select(F.col("nbr").alias("node"), F.col("node").alias("nbr")), n)
     step, count = (n // sample, sample) if sample and sample < n else (1, n)
-    together = max(1, min(64, (1 << 16) // n))  # small graphs; in large ones a source has work enough
+    together = max(1, min(64, (1 << 16) // n, PATHS // max(1, out.rows)))  # small graphs; in large ones a source has work enough
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = np.zeros(n)

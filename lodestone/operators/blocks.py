@@ -13,7 +13,7 @@ from lodestone.shared import materialize
 #: Rows of a file, and bytes of one adjacency up to which a worker keeps it; beyond, files are read anew at each use.
 FILE_ROWS, HELD = 1_000_000, 1 << 28
 #: Edges that one step of a kernel takes at most, and edges on shortest paths that several sources may hold together.
-STEP, PATHS = 1 << 20, 1 << 23
+STEP, PATHS = 1 << 20, 1 << 22
 
 _held: dict[tuple, tuple] = {}
 
@@ -206,10 +206,10 @@ def dependencies(out: Blocks, into: Blocks, degrees: tuple[np.ndarray, np.ndarra
             end = base[which] + nbr if k > 1 else nbr
             keep = state[end] == (2 if pull else 0)
             found.append((which[keep], end[keep]))
+            held += len(found[-1][1])
+            if held > PATHS and k > 1:
+                raise TooMany
         which, end = (np.concatenate(x) for x in zip(*found)) if len(found) > 1 else found[0] if found else (front[:0], front[:0])
-        held += len(end)
-        if held > PATHS and k > 1:
-            raise TooMany
         if not len(end):
             break
         if pull:
