@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lodestone.llm import decontaminate as dc
-from lodestone.llm import embdedup, langid, pst, simhash
+from lodestone.llm import embdedup, langid, neardup, pst, simhash
 from lodestone.shared import materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -369,3 +370,43 @@ def test_pipeline_edited_copies(spark, tmp_path):
     assert 60 < len(want) < 200
     got = [x.doc_id for x in cp.near_duplicates(spark, spark.createDataFrame(docs, DOCS), str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_maps_lose_no_pair():
+    r = np.random.default_rng(5)
+    for n in (1, 3, 40, 250, 1500, 9000):
+        base = r.integers(0, 1 << 63, n).astype(np.uint64)
+        sets = [np.unique(base)]
+        for gone in r.integers(0, max(2, n // 4), 25):
+            sets.append(np.unique(np.concatenate([base[gone:], r.integers(0, 1 << 63, r.integers(0, gone + 1)).astype(np.uint64)])))
+        own = [(len(s), neardup.parity(s)) for s in sets]
+        rows = {"row": range(len(sets)), "n": [x[0] for x in own], "place": 0, "part": range(len(sets)), "side": 0, "bits": [x[1] for x in own], "cross": False}
+        found = {(a, b) for x in neardup.met(pd.DataFrame(rows)) for a, b in zip(*(np.broadcast_to(y, np.broadcast_shapes(x[0].shape, x[1].shape)) for y in x))}
+        pairs = [(a, b) for b in range(len(sets)) for a in range(b)]
+        near = {p for p in pairs if neardup.alike(sets[p[0]], sets[p[1]])}
+        may = {p for p in pairs if neardup.may_be_alike(own[p[0]], own[p[1]])}
+        assert near <= found <= may and (n != 250 or 0 < len(near) and len(may) < len(pairs))
+
+
+@pytest.mark.parametrize("block", [8192, 20])
+def test_near_duplicates_of_a_crowd(spark, monkeypatch, block):
+    """Many texts that share rare shingles and are yet apart don't meet as pairs of rows; those alike are found."""
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    made, write = [], neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: made.append((name, out := write(df, name), out.count() if name == "near-pairs" else 0)) or out)
+    r, docs, base = random.Random(8), [], prose("en", 200, 77).split()
+    for i in range(90):
+        words = docs[i - 80][1].split() if i >= 80 else list(base)
+        for at in r.sample(range(200), 1 if i >= 80 else 4):
+            words[at] = f"edit{r.random()}"
+        docs.append((i, " ".join(words), "en", "s0", 0))
+    sets = [neardup.shingles(d[1]) for d in docs]
+    pairs = [(a, b) for b in range(90) for a in range(b) if neardup.alike(sets[a], sets[b])]
+    root = list(range(90))
+    for a, b in pairs:
+        old, new = sorted((root[a], root[b]))[::-1]
+        root = [new if x == old else x for x in root]
+    assert 1 < len(set(root)) < 90
+    got = [x.doc_id for x in neardup.one_of_each(spark.createDataFrame(docs, DOCS)).collect()]
+    assert sorted(got) == sorted(set(root))
+    assert sum(many for _, _, many in made) < 500  # of 4005
